@@ -66,7 +66,10 @@ def round_half_away(c, digits: int = 4) -> Column:
     """
     c = col(c)
     scale = float(10 ** digits)
-    return F.signum(c) * F.floor(F.abs(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    v = F.abs(c) * F.lit(scale) + F.lit(0.5)
+    # floor in double precision (``floor`` itself returns a bigint and would
+    # saturate above 9.2e18): for v >= 0, v - fmod(v, 1) is exact.
+    return F.signum(c) * (v - v % F.lit(1.0)) / F.lit(scale)
 
 
 def null_safe_sum(c) -> Column:

@@ -144,11 +144,11 @@ def q_filter_default_range(inp):
 
 @query("filter_summary", with_tickets(f"""
 SELECT {KEY_SQL} FROM filtered
-WHERE ticket_type IN ('GERMANY', 'FRANCE', 'BRAZIL') AND route_no IN ('7', '13', '42')"""),
+WHERE ticket_type IN ('NATION_3', 'NATION_7', 'NATION_12') AND route_no IN ('7', '13', '42')"""),
     doubles=["px_total_amount", "travelled_KM"])
 def q_filter_summary(inp):
     """ticket-type list AND route list."""
-    return filters.filter_summary(inp.filtered, ["GERMANY", "FRANCE", "BRAZIL"],
+    return filters.filter_summary(inp.filtered, ["NATION_3", "NATION_7", "NATION_12"],
                                   ["7", "13", "42"]).select(KEY_COLS)
 
 
