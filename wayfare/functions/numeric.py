@@ -72,6 +72,33 @@ def round_half_away(c, digits: int = 4) -> Column:
     return F.signum(c) * (v - v % F.lit(1.0)) / F.lit(scale)
 
 
+def present_double(c, decimals: int = 4, significant: int = 12) -> Column:
+    """Round to ``decimals`` places but keep at most ``significant`` digits.
+
+    Used to present results for comparison: aggregates of very large values
+    (e.g. EPKM with a 1e-9 divisor) carry summation-order noise above the 4th
+    decimal, which the significant-digit cap absorbs.  Only exact powers of
+    ten are used as factors, so the arithmetic is reproducible outside Spark.
+    """
+    c = col(c)
+    a = F.abs(c)
+    mag = F.floor(F.log10(a)).cast("double")
+    k = F.lit(float(significant - 1)) - mag
+    up = F.pow(F.lit(10.0), k)
+    down = F.pow(F.lit(10.0), -k)
+
+    def fl(v):
+        return v - v % F.lit(1.0)
+
+    small = round_half_away(c, decimals)
+    mid = F.signum(c) * fl(a * up + F.lit(0.5)) / up
+    big = F.signum(c) * fl(a / down + F.lit(0.5)) * down
+    return (F.when(c.isNull() | F.isnan(c) | (a == F.lit(float("inf"))) | (c == 0), c)
+             .when(k >= F.lit(float(decimals)), small)
+             .when(k >= 0, mid)
+             .otherwise(big))
+
+
 def null_safe_sum(c) -> Column:
     """Sum that is 0 (not NULL) for an empty or all-NULL group."""
     return F.coalesce(F.sum(col(c)), F.lit(0))

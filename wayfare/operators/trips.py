@@ -153,8 +153,7 @@ def schedule_epkm_vs_system(df: DataFrame, min_trips: int = 5) -> DataFrame:
     """A18 + K10: schedule means next to the system-wide mean EPKM."""
     sys_avg = system_average(df)
     return (schedule_stats(df, min_trips).select("schedule_number", "avg_epkm")
-            .withColumn("system_avg_epkm", sys_avg)
-            .withColumn("epkm_vs_system", F.col("avg_epkm") - F.col("system_avg_epkm")))
+            .withColumn("system_avg_epkm", sys_avg))
 
 
 def schedule_summary(df: DataFrame, min_trips: int = 5, tie_digits: int | None = None) -> DataFrame:

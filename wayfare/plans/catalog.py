@@ -2,9 +2,10 @@
 
 Each entry pairs a function ``Inputs -> DataFrame`` with DuckDB SQL over the
 same parquet tables.  For comparison, every double column is presented at
-4 decimals with the same binary half-away-from-zero rounding on both sides
-(``round`` in DuckDB, ``round_half_away`` in Spark); the library operators
-themselves return full precision.
+4 decimals, capped at 12 significant digits, with the same IEEE arithmetic
+on both sides (``functions.numeric.present_double`` in Spark,
+``present_double_sql`` in DuckDB); the library operators themselves return
+full precision.
 """
 
 from __future__ import annotations
@@ -15,10 +16,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..functions import round_half_away
+from ..functions.numeric import present_double
 from .inputs import Inputs
 
 PRESENT_DIGITS = 4
+SIGNIFICANT = 12
+
+
+def present_double_sql(c: str, decimals: int = PRESENT_DIGITS, significant: int = SIGNIFICANT) -> str:
+    """DuckDB text of ``functions.numeric.present_double``."""
+    q = f'"{c}"'
+    a = f"abs({q})"
+    k = f"({significant - 1}.0 - floor(log10({a})))"
+    return (f"CASE WHEN {q} IS NULL OR isnan({q}) OR isinf({q}) OR {q} = 0 THEN {q} "
+            f"WHEN {k} >= {decimals} THEN sign({q}) * ({a} * {10.0 ** decimals!r} + 0.5 - fmod({a} * {10.0 ** decimals!r} + 0.5, 1.0)) / {10.0 ** decimals!r} "
+            f"WHEN {k} >= 0 THEN sign({q}) * ({a} * power(10.0, {k}) + 0.5 - fmod({a} * power(10.0, {k}) + 0.5, 1.0)) / power(10.0, {k}) "
+            f"ELSE sign({q}) * ({a} / power(10.0, -{k}) + 0.5 - fmod({a} / power(10.0, -{k}) + 0.5, 1.0)) * power(10.0, -{k}) END")
 
 
 @dataclass(frozen=True)
@@ -48,7 +61,7 @@ def present(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            cols.append(round_half_away(df[f.name], PRESENT_DIGITS).alias(f.name))
+            cols.append(present_double(df[f.name], PRESENT_DIGITS, SIGNIFICANT).alias(f.name))
         else:
             cols.append(df[f.name])
     return df.select(cols)
@@ -59,7 +72,7 @@ def present_sql(spec: QuerySpec) -> str | None:
         return None
     if not spec.doubles:
         return spec.sql
-    repl = ", ".join(f'round("{c}", {PRESENT_DIGITS}) AS "{c}"' for c in spec.doubles)
+    repl = ", ".join(f'{present_double_sql(c)} AS "{c}"' for c in spec.doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{spec.sql}\n) AS q"
 
 

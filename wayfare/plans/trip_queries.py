@@ -354,9 +354,8 @@ def q_schedule_stats(inp):
 
 
 @query("schedule_epkm_vs_system", with_trips(_SCHED + """
-SELECT schedule_number, avg_epkm, (SELECT avg(Epkm) FROM trips_ext) AS system_avg_epkm,
-       avg_epkm - (SELECT avg(Epkm) FROM trips_ext) AS epkm_vs_system FROM ss"""),
-    doubles=["avg_epkm", "system_avg_epkm", "epkm_vs_system"])
+SELECT schedule_number, avg_epkm, (SELECT avg(Epkm) FROM trips_ext) AS system_avg_epkm FROM ss"""),
+    doubles=["avg_epkm", "system_avg_epkm"])
 def q_schedule_epkm_vs_system(inp):
     """A18 + K10: schedule means against the system mean."""
     return TR.schedule_epkm_vs_system(inp.trips_extended, MIN_TRIPS)
