@@ -33,8 +33,9 @@ def to_long(c) -> Column:
     A fractional value is not truncated; it becomes NULL so that a data
     quality count can see it.
     """
-    d = to_double(c)
-    return F.when(d == F.floor(d), d.try_cast("bigint"))
+    v = col(c).try_cast("double")
+    # NaN and +/-inf leave a NaN remainder, so they also become NULL
+    return F.when((v % F.lit(1.0)) == 0, v.try_cast("bigint"))
 
 
 def safe_div(num, den) -> Column:
@@ -72,31 +73,43 @@ def round_half_away(c, digits: int = 4) -> Column:
     return F.signum(c) * (v - v % F.lit(1.0)) / F.lit(scale)
 
 
-def present_double(c, decimals: int = 4, significant: int = 12) -> Column:
-    """Round to ``decimals`` places but keep at most ``significant`` digits.
+def round_significant(c, significant: int, decimals: int | None = None) -> Column:
+    """Round half away from zero to ``significant`` digits, and to at most
+    ``decimals`` places when given.
 
-    Used to present results for comparison: aggregates of very large values
-    (e.g. EPKM with a 1e-9 divisor) carry summation-order noise above the 4th
-    decimal, which the significant-digit cap absorbs.  Only exact powers of
-    ten are used as factors, so the arithmetic is reproducible outside Spark.
+    Only exact powers of ten are used as factors (multiplying for small
+    magnitudes, dividing for large ones), so the same IEEE operations give
+    the same result outside Spark.
     """
     c = col(c)
     a = F.abs(c)
     mag = F.floor(F.log10(a)).cast("double")
     k = F.lit(float(significant - 1)) - mag
+    if decimals is not None:
+        k = F.least(k, F.lit(float(decimals)))
     up = F.pow(F.lit(10.0), k)
     down = F.pow(F.lit(10.0), -k)
 
     def fl(v):
+        # floor in double precision (``floor`` returns a saturating bigint)
         return v - v % F.lit(1.0)
 
-    small = round_half_away(c, decimals)
-    mid = F.signum(c) * fl(a * up + F.lit(0.5)) / up
-    big = F.signum(c) * fl(a / down + F.lit(0.5)) * down
+    scaled_up = F.signum(c) * fl(a * up + F.lit(0.5)) / up
+    scaled_down = F.signum(c) * fl(a / down + F.lit(0.5)) * down
     return (F.when(c.isNull() | F.isnan(c) | (a == F.lit(float("inf"))) | (c == 0), c)
-             .when(k >= F.lit(float(decimals)), small)
-             .when(k >= 0, mid)
-             .otherwise(big))
+             .when(k >= 0, scaled_up)
+             .otherwise(scaled_down))
+
+
+def present_double(c, decimals: int = 4, significant: int = 11, snap: int = 12) -> Column:
+    """Presentation of a double for comparison with another engine.
+
+    Two stages: snap to ``snap`` significant digits (absorbing summation-order
+    noise, so both engines then hold the same double even for values that
+    are exact decimal ties such as 727.46125), then round to ``decimals``
+    places capped at ``significant`` digits.
+    """
+    return round_significant(round_significant(c, snap), significant, decimals)
 
 
 def null_safe_sum(c) -> Column:

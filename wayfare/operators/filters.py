@@ -67,8 +67,10 @@ def date_between(c, start, end) -> Column:
 def default_date_range(df: DataFrame, ts_col: str = "ticket_datetime"):
     """The dashboard's default range: (date of min, date of max), as two
     scalar-subquery columns (computed once, no join)."""
-    b = df.agg(F.to_date(F.min(ts_col)).alias("d0"), F.to_date(F.max(ts_col)).alias("d1"))
-    return b.select("d0").scalar(), b.select("d1").scalar()
+    b = df.agg(F.struct(F.to_date(F.min(ts_col)).alias("d0"),
+                        F.to_date(F.max(ts_col)).alias("d1")).alias("b"))
+    s = b.select("b").scalar()
+    return s.getField("d0"), s.getField("d1")
 
 
 def filter_global(df: DataFrame, date_range=None, services=None,

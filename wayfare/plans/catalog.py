@@ -2,7 +2,8 @@
 
 Each entry pairs a function ``Inputs -> DataFrame`` with DuckDB SQL over the
 same parquet tables.  For comparison, every double column is presented at
-4 decimals, capped at 12 significant digits, with the same IEEE arithmetic
+4 decimals (capped at 11 significant digits, after a snap to 12 digits that
+absorbs summation-order noise), with the same IEEE arithmetic
 on both sides (``functions.numeric.present_double`` in Spark,
 ``present_double_sql`` in DuckDB); the library operators themselves return
 full precision.
@@ -20,18 +21,27 @@ from ..functions.numeric import present_double
 from .inputs import Inputs
 
 PRESENT_DIGITS = 4
-SIGNIFICANT = 12
+SIGNIFICANT = 11
+SNAP = 12
 
 
-def present_double_sql(c: str, decimals: int = PRESENT_DIGITS, significant: int = SIGNIFICANT) -> str:
-    """DuckDB text of ``functions.numeric.present_double``."""
-    q = f'"{c}"'
-    a = f"abs({q})"
+def round_significant_sql(e: str, significant: int, decimals: int | None = None) -> str:
+    """DuckDB text of ``functions.numeric.round_significant`` over expression ``e``."""
+    a = f"abs({e})"
     k = f"({significant - 1}.0 - floor(log10({a})))"
-    return (f"CASE WHEN {q} IS NULL OR isnan({q}) OR isinf({q}) OR {q} = 0 THEN {q} "
-            f"WHEN {k} >= {decimals} THEN sign({q}) * ({a} * {10.0 ** decimals!r} + 0.5 - fmod({a} * {10.0 ** decimals!r} + 0.5, 1.0)) / {10.0 ** decimals!r} "
-            f"WHEN {k} >= 0 THEN sign({q}) * ({a} * power(10.0, {k}) + 0.5 - fmod({a} * power(10.0, {k}) + 0.5, 1.0)) / power(10.0, {k}) "
-            f"ELSE sign({q}) * ({a} / power(10.0, -{k}) + 0.5 - fmod({a} / power(10.0, -{k}) + 0.5, 1.0)) * power(10.0, -{k}) END")
+    if decimals is not None:
+        k = f"least({k}, {decimals}.0)"
+    up = f"power(10.0, {k})"
+    down = f"power(10.0, -{k})"
+    return (f"(CASE WHEN {e} IS NULL OR isnan({e}) OR isinf({e}) OR {e} = 0 THEN {e} "
+            f"WHEN {k} >= 0 THEN sign({e}) * ({a} * {up} + 0.5 - fmod({a} * {up} + 0.5, 1.0)) / {up} "
+            f"ELSE sign({e}) * ({a} / {down} + 0.5 - fmod({a} / {down} + 0.5, 1.0)) * {down} END)")
+
+
+def present_double_sql(c: str) -> str:
+    """DuckDB text of ``functions.numeric.present_double`` for column ``c``."""
+    snapped = round_significant_sql(f'"{c}"', SNAP)
+    return round_significant_sql(snapped, SIGNIFICANT, PRESENT_DIGITS)
 
 
 @dataclass(frozen=True)
@@ -61,7 +71,7 @@ def present(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            cols.append(present_double(df[f.name], PRESENT_DIGITS, SIGNIFICANT).alias(f.name))
+            cols.append(present_double(df[f.name], PRESENT_DIGITS, SIGNIFICANT, SNAP).alias(f.name))
         else:
             cols.append(df[f.name])
     return df.select(cols)
