@@ -54,3 +54,19 @@ def test_schedule_stats_respect_min_trips(inp):
 def test_month_over_month_first_row_null(inp):
     mom = TR.month_over_month(inp.trips_monthly).orderBy("month_no").first()
     assert mom.Passenger_MoM is None
+
+
+def test_materialized_table_prunes_and_matches(spark, inp, capsys):
+    from wayfare.operators import filters
+    mat = Inputs(spark, SF_SMALL, materialize="table")
+    a = T.kpi_summary(inp.filtered).first()
+    b = T.kpi_summary(mat.filtered).first()
+    assert a.total_passengers == b.total_passengers
+    assert a.total_revenue == pytest.approx(b.total_revenue, rel=1e-12)
+    q = filters.filter_global(mat.enriched, ("1996-01-01", "1996-03-31"))
+    capsys.readouterr()
+    q.explain("formatted")
+    plan = capsys.readouterr().out
+    part_lines = [ln for ln in plan.splitlines() if ln.startswith("PartitionFilters")]
+    assert any("ticket_month" in ln and "1996-01" in ln for ln in part_lines), plan
+    assert q.count() == filters.filter_global(inp.enriched, ("1996-01-01", "1996-03-31")).count()

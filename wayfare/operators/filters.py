@@ -83,10 +83,21 @@ def filter_global(df: DataFrame, date_range=None, services=None,
     if date_range is None:
         date_range = default_date_range(df, ts_col)
     pred = all_of([datetime_between(ts_col, date_range[0], date_range[1]),
-                   optional_isin("service_type", services)])
+                   optional_isin("service_type", services),
+                   month_partition_predicate(df, date_range[0], date_range[1])])
     return df.where(pred)
 
 
+def month_partition_predicate(df: DataFrame, start, end, part: str = "ticket_month") -> Column | None:
+    """Redundant ``yyyy-MM`` range on the month partition column of a
+    materialised table (see ``plans.inputs``), so a date-range filter prunes
+    partitions; ``None`` when the table has no such column."""
+    if part not in df.columns:
+        return None
+    return F.col(part).between(F.date_format(_as_date(start), "yyyy-MM"),
+                               F.date_format(_as_date(end), "yyyy-MM"))
+
+
 def filter_summary(df: DataFrame, ticket_types=None, routes=None) -> DataFrame:
     """optional ticket-type and route lists."""
     return df.where(all_of([optional_isin("ticket_type", ticket_types),
@@ -128,7 +139,8 @@ def filter_vehicle_dates(df: DataFrame, vehicle: str = "All", start=None, end=No
         d0, d1 = default_date_range(df, ts_col)
         start = d0 if start is None else start
         end = d1 if end is None else end
-    return df.where(date_between(ts_col, start, end))
+    return df.where(all_of([date_between(ts_col, start, end),
+                            month_partition_predicate(df, start, end)]))
 
 
 @dataclass

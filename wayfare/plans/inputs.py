@@ -4,7 +4,10 @@
 dashboards share: enriched tickets (with the default global filter) and the
 three trip cleanings.  With ``persist=True`` the cleaned tables are kept in
 executor memory / disk (recomputed from lineage if an executor is lost),
-which is how an interactive dashboard reuses its loaded table.
+which is how an interactive dashboard reuses its loaded table.  With
+``materialize="table"`` they are instead written as parquet partitioned by
+month below the shared checkpoint folder and read back: lineage is cut, a
+lost executor costs nothing, and ticket date-range filters prune months.
 """
 
 from __future__ import annotations
@@ -13,18 +16,36 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import clean, enrich, filters
+from ..session import scratch_path
 from ..sources import fixtures
 
+# partition column of each materialised table and the timestamp it is cut from
+PARTITIONS = {"enriched": ("ticket_month", "ticket_datetime"),
+              "trips_basic": ("run_month", "running_date"),
+              "trips_extended": ("run_month", "running_date"),
+              "trips_monthly": ("run_month", "running_date")}
+
 
 class Inputs:
-    def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = False,
+                 materialize: str | None = None):
+        if materialize not in (None, "table"):
+            raise ValueError("materialize must be None or 'table'")
         self.spark = spark
         self.sf_dir = sf_dir
         self.persist = persist
-
-    def _keep(self, df: DataFrame) -> DataFrame:
+        self.materialize = materialize
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        if self.materialize == "table":
+            part, ts = PARTITIONS[name]
+            path = scratch_path(self.spark, "tables", name)
+            (df.withColumn(part, F.date_format(ts, "yyyy-MM"))
+               .write.mode("overwrite").partitionBy(part).parquet(path))
+            return self.spark.read.parquet(path)
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
 
     # ---------------------------------------------------------------- tickets
@@ -48,7 +69,7 @@ class Inputs:
     def enriched(self) -> DataFrame:
         """All tickets after lookups, timestamps, ratios and km override."""
         return self._keep(enrich.enrich_tickets(self.tickets, self.ticket_types,
-                                                self.service_types, self.form_four))
+                                                self.service_types, self.form_four), "enriched")
 
     @cached_property
     def filtered(self) -> DataFrame:
@@ -63,11 +84,11 @@ class Inputs:
 
     @cached_property
     def trips_basic(self) -> DataFrame:
-        return self._keep(clean.clean_trips_basic(self.trips))
+        return self._keep(clean.clean_trips_basic(self.trips), "trips_basic")
 
     @cached_property
     def trips_extended(self) -> DataFrame:
-        return self._keep(clean.clean_trips_extended(self.trips))
+        return self._keep(clean.clean_trips_extended(self.trips), "trips_extended")
 
     @cached_property
     def trips_monthly_raw(self) -> DataFrame:
@@ -75,9 +96,9 @@ class Inputs:
 
     @cached_property
     def trips_monthly(self) -> DataFrame:
-        return self._keep(clean.clean_trips_monthly(self.trips_monthly_raw))
+        return self._keep(clean.clean_trips_monthly(self.trips_monthly_raw), "trips_monthly")
 
     def release(self) -> None:
         for name in ("enriched", "trips_basic", "trips_extended", "trips_monthly"):
-            if name in self.__dict__:
+            if name in self.__dict__ and self.persist and not self.materialize:
                 self.__dict__[name].unpersist()
