@@ -233,8 +233,8 @@ def monthly_distance(fleet_df: DataFrame) -> DataFrame:
             .agg(null_safe_sum("travelled_KM").cast("double").alias("distance")))
 
 
-def top_ev_routes(df: DataFrame, n: int = 3) -> DataFrame:
+def top_ev_routes(df: DataFrame, n: int = 3, tie_digits: int | None = None) -> DataFrame:
     """The ``n`` routes with the most EV km."""
     ev = _grouped(df.where(F.col("service_type") == EV), "route_no")
     g = ev.groupBy("route_no").agg(null_safe_sum("travelled_KM").cast("double").alias("ev_km"))
-    return top_k(g, "ev_km", "route_no", n)
+    return top_k(g, "ev_km", "route_no", n, tie_digits=tie_digits)

@@ -289,8 +289,10 @@ def yoy_monthly_passengers(df: DataFrame) -> DataFrame:
 
 
 def epkm_trend(df: DataFrame, freq: str = "D") -> DataFrame:
-    """Mean EPKM per day / W-MON week / month end; empty bins NULL."""
-    return spine.resample(df, "running_date", freq, means=[("avg_epkm", "Epkm")], label="period")
+    """A36-A38 + K10: mean EPKM per day / W-MON week / month end (empty
+    bins NULL) next to the overall mean EPKM (the benchmark line)."""
+    out = spine.resample(df, "running_date", freq, means=[("avg_epkm", "Epkm")], label="period")
+    return out.withColumn("system_avg_epkm", system_average(df))
 
 
 def daily_totals(df: DataFrame, column: str) -> DataFrame:

@@ -71,11 +71,25 @@ class Inputs:
         return self._keep(enrich.enrich_tickets(self.tickets, self.ticket_types,
                                                 self.service_types, self.form_four), "enriched")
 
+    @cached_property
+    def default_range(self):
+        """Default global date range (first date, last date).
+
+        For a reused (persisted / materialised) table it is computed once, as
+        the dashboard does for its date widget, and becomes two literal
+        dates; otherwise it stays a lazy scalar subquery of each plan.
+        """
+        if self.persist or self.materialize:
+            b = self.enriched.agg(F.to_date(F.min("ticket_datetime")).alias("d0"),
+                                  F.to_date(F.max("ticket_datetime")).alias("d1")).first()
+            return (b.d0, b.d1)
+        return None
+
     @cached_property
     def filtered(self) -> DataFrame:
         """Enriched tickets under the default global filter (first date ..
         last date at midnight, all services)."""
-        return filters.filter_global(self.enriched)
+        return filters.filter_global(self.enriched, self.default_range)
 
     # ---------------------------------------------------------------- trips
     @cached_property

@@ -460,6 +460,4 @@ def q_monthly_distance(inp):
 SELECT * FROM ev ORDER BY round(ev_km, {TD}) DESC NULLS LAST, route_no LIMIT 3"""), doubles=["ev_km"])
 def q_top3_ev_routes(inp):
     """Three routes with the most EV km."""
-    ev = inp.filtered.where((F.col("service_type") == T.EV) & F.col("route_no").isNotNull())
-    g = ev.groupBy("route_no").agg(F.coalesce(F.sum("travelled_KM"), F.lit(0.0)).alias("ev_km"))
-    return top_k(g, "ev_km", "route_no", 3, tie_digits=TD)
+    return T.top_ev_routes(inp.filtered, 3, tie_digits=TD)

@@ -495,13 +495,14 @@ def _trend_sql(label: str, step: str, spine_expr: str) -> str:
 , sel AS (SELECT * FROM trips_ext WHERE route_no IN ('{ROUTE}')),
 per AS (SELECT {label} AS period, avg(Epkm) AS avg_epkm FROM sel GROUP BY 1),
 sp AS (SELECT {spine_expr} AS period FROM per)
-SELECT sp.period, per.avg_epkm FROM sp LEFT JOIN per USING (period)""")
+SELECT sp.period, per.avg_epkm, (SELECT avg(Epkm) FROM sel) AS system_avg_epkm
+FROM sp LEFT JOIN per USING (period)""")
 
 
 @query("epkm_trend_daily", _trend_sql(
     "CAST(running_date AS DATE)", "1 DAY",
     "CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 DAY)) AS DATE)"),
-    doubles=["avg_epkm"])
+    doubles=["avg_epkm", "system_avg_epkm"])
 def q_epkm_trend_daily(inp):
     """Route 7's mean EPKM per day, empty days NULL."""
     return TR.epkm_trend(filters.CalendarFilter(routes=[ROUTE]).apply(inp.trips_extended), "D")
@@ -510,7 +511,7 @@ def q_epkm_trend_daily(inp):
 @query("epkm_trend_weekly", _trend_sql(
     "CAST(date_trunc('week', CAST(running_date AS DATE) - INTERVAL 1 DAY) + INTERVAL 7 DAY AS DATE)", "7 DAY",
     "CAST(unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS DATE)"),
-    doubles=["avg_epkm"])
+    doubles=["avg_epkm", "system_avg_epkm"])
 def q_epkm_trend_weekly(inp):
     """Route 7's mean EPKM per Tuesday..Monday week (Monday label)."""
     return TR.epkm_trend(filters.CalendarFilter(routes=[ROUTE]).apply(inp.trips_extended), "W-MON")
@@ -520,7 +521,7 @@ def q_epkm_trend_weekly(inp):
     "last_day(CAST(running_date AS DATE))", "1 MONTH",
     "last_day(CAST(unnest(generate_series(date_trunc('month', min(period)), date_trunc('month', max(period)), "
     "INTERVAL 1 MONTH)) AS DATE))"),
-    doubles=["avg_epkm"])
+    doubles=["avg_epkm", "system_avg_epkm"])
 def q_epkm_trend_monthly(inp):
     """Route 7's mean EPKM per month end, empty months NULL."""
     return TR.epkm_trend(filters.CalendarFilter(routes=[ROUTE]).apply(inp.trips_extended), "M")
