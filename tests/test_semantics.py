@@ -200,3 +200,16 @@ def test_coercion_drops_and_survives(spark):
     ext = clean.clean_trips_extended(raw).collect()
     assert len(basic) == 1 and basic[0].total_count == 0.0
     assert sorted(r.trip_number for r in ext) == [0, 1]
+
+
+def test_present_matches_column_function(spark):
+    from wayfare.functions.numeric import present_double
+    from wayfare.plans.catalog import present
+    vals = [727.46125, -0.000049999, 1356.985, 2613174564140.6533, 1e-300, 0.0, None, float("nan"),
+            123456789.123456, -98765.43215, 5e15 + 0.3]
+    df = spark.createDataFrame([(v, v) for v in vals], "a double, b double")
+    got = present(df).collect()
+    exp = df.select(present_double("a").alias("a")).collect()
+    for g, e in zip(got, exp):
+        assert (g.a == e.a) or (g.a != g.a and e.a != e.a)
+        assert (g.a == g.b) or (g.a != g.a and g.b != g.b)

@@ -15,9 +15,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import present_double
 from .inputs import Inputs
 
 PRESENT_DIGITS = 4
@@ -66,15 +66,45 @@ def query(name: str, sql: str | None, doubles=()):
     return deco
 
 
+def _round_sig_stage(df: DataFrame, cols: list[str], significant: int,
+                     decimals: int | None) -> DataFrame:
+    """One rounding stage of ``functions.numeric.round_significant`` over
+    several columns, written as three small projections (digit position,
+    powers of ten, rounded value) so that no subexpression is repeated."""
+    keep = [c for c in df.columns]
+    k = {}
+    for c in cols:
+        e = F.lit(float(significant - 1)) - F.floor(F.log10(F.abs(F.col(c)))).cast("double")
+        k[c] = F.least(e, F.lit(float(decimals))) if decimals is not None else e
+    df = df.select("*", *[k[c].alias(f"__k_{i}") for i, c in enumerate(cols)])
+    df = df.select("*", *[F.pow(F.lit(10.0), F.col(f"__k_{i}")).alias(f"__u_{i}") for i in range(len(cols))],
+                   *[F.pow(F.lit(10.0), -F.col(f"__k_{i}")).alias(f"__d_{i}") for i in range(len(cols))])
+    out = []
+    for name in keep:
+        if name not in cols:
+            out.append(F.col(name))
+            continue
+        i = cols.index(name)
+        c, kk, up, down = F.col(name), F.col(f"__k_{i}"), F.col(f"__u_{i}"), F.col(f"__d_{i}")
+        a = F.abs(c)
+        hi = a * up + F.lit(0.5)
+        lo = a / down + F.lit(0.5)
+        r = (F.when(c.isNull() | F.isnan(c) | (a == F.lit(float("inf"))) | (c == 0), c)
+              .when(kk >= 0, F.signum(c) * (hi - hi % F.lit(1.0)) / up)
+              .otherwise(F.signum(c) * (lo - lo % F.lit(1.0)) * down))
+        out.append(r.alias(name))
+    return df.select(out)
+
+
 def present(df: DataFrame) -> DataFrame:
-    """Round every double column to ``PRESENT_DIGITS`` decimals."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.DoubleType):
-            cols.append(present_double(df[f.name], PRESENT_DIGITS, SIGNIFICANT, SNAP).alias(f.name))
-        else:
-            cols.append(df[f.name])
-    return df.select(cols)
+    """Present every double column: snap to ``SNAP`` significant digits, then
+    round to ``PRESENT_DIGITS`` decimals capped at ``SIGNIFICANT`` digits
+    (same arithmetic as ``functions.numeric.present_double``)."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    if not cols:
+        return df
+    df = _round_sig_stage(df, cols, SNAP, None)
+    return _round_sig_stage(df, cols, SIGNIFICANT, PRESENT_DIGITS)
 
 
 def present_sql(spec: QuerySpec) -> str | None:

@@ -49,9 +49,13 @@ class Inputs:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
 
     # ---------------------------------------------------------------- tickets
+    def _keep_raw(self, df: DataFrame) -> DataFrame:
+        """Raw fact rows as loaded, kept only in persist mode."""
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
+
     @cached_property
     def tickets(self) -> DataFrame:
-        return fixtures.tickets(self.spark, self.sf_dir)
+        return self._keep_raw(fixtures.tickets(self.spark, self.sf_dir))
 
     @cached_property
     def ticket_types(self) -> DataFrame:
@@ -94,7 +98,7 @@ class Inputs:
     # ---------------------------------------------------------------- trips
     @cached_property
     def trips(self) -> DataFrame:
-        return fixtures.trips(self.spark, self.sf_dir)
+        return self._keep_raw(fixtures.trips(self.spark, self.sf_dir))
 
     @cached_property
     def trips_basic(self) -> DataFrame:
@@ -106,13 +110,14 @@ class Inputs:
 
     @cached_property
     def trips_monthly_raw(self) -> DataFrame:
-        return fixtures.trips_monthly(self.spark, self.sf_dir)
+        return self._keep_raw(fixtures.trips_monthly(self.spark, self.sf_dir))
 
     @cached_property
     def trips_monthly(self) -> DataFrame:
         return self._keep(clean.clean_trips_monthly(self.trips_monthly_raw), "trips_monthly")
 
     def release(self) -> None:
-        for name in ("enriched", "trips_basic", "trips_extended", "trips_monthly"):
-            if name in self.__dict__ and self.persist and not self.materialize:
+        for name in ("tickets", "trips", "trips_monthly_raw", "enriched", "trips_basic",
+                     "trips_extended", "trips_monthly"):
+            if name in self.__dict__ and self.persist:
                 self.__dict__[name].unpersist()
