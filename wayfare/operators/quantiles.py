@@ -35,6 +35,28 @@ def _lerp(a, b, t):
     return F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
 
 
+def _attach_intervals(data: DataFrame, intervals: DataFrame, keys: list[str], grouped: bool) -> DataFrame:
+    """Rows of ``data`` whose value lies in a candidate interval of their group,
+    with the interval's ``_lo`` / ``_hi`` attached.
+
+    Grouped: an equi-join on the group keys (the interval table is broadcast
+    when the probe proves it small).  Ungrouped: the single group has at most
+    two intervals per requested probability, so they are read back and
+    applied as a CASE expression (no join at all).
+    """
+    v = F.col("_v")
+    if grouped:
+        j = data.join(bounded_broadcast(intervals), keys)
+        return j.where((v >= F.col("_lo")) & (v <= F.col("_hi")))
+    rows = intervals.select("_lo", "_hi").collect()
+    lo, hi = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for r in rows:
+        inside = (v >= F.lit(r["_lo"])) & (v <= F.lit(r["_hi"]))
+        lo = F.when(inside, F.lit(r["_lo"])).otherwise(lo)
+        hi = F.when(inside, F.lit(r["_hi"])).otherwise(hi)
+    return data.withColumn("_lo", lo).withColumn("_hi", hi).where(F.col("_lo").isNotNull())
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
                     max_exact: int = 200_000, bins: int = 1024, max_rounds: int = 32) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per ``by`` group.
@@ -63,7 +85,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
         rank_exprs += [lo, F.least(lo + 1, F.col("_n") - 1)]
     ctrl = stats.select(*keys, F.explode(F.array_distinct(F.array(*rank_exprs))).alias("_r"),
                         F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
-                        F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"))
+                        F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"), "_n")
 
     iv = [*keys, "_lo", "_hi"]
     for _ in range(max_rounds):
@@ -71,12 +93,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
         if ctrl.where(open_).limit(1).count() == 0:
             break
         active = ctrl.where(open_)
-        intervals = bounded_broadcast(active.select(*iv).distinct())
         width = F.col("_hi") - F.col("_lo")
         b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(float(bins))),
                     F.lit(bins - 1)).cast("long")
-        hist = (data.join(intervals, keys)
-                    .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        hist = (_attach_intervals(data, active.select(*iv).distinct(), keys, bool(by))
                     .withColumn("_b", b)
                     .groupBy(*iv, "_b")
                     .agg(F.count("_v").alias("_c"), F.min("_v").alias("_bmin"),
@@ -88,22 +108,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
                  .where((local >= F.col("_cum") - F.col("_c")) & (local < F.col("_cum")))
                  .select(*keys, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
                          (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"),
-                         F.col("_c").alias("_cnt")))
+                         F.col("_c").alias("_cnt"), "_n"))
         ctrl = ctrl.where(~open_).unionByName(moved).checkpoint()
 
-    settled = ctrl.where(F.col("_lo") == F.col("_hi")).select(*keys, "_r", F.col("_lo").alias("_x"))
+    settled = ctrl.where(F.col("_lo") == F.col("_hi")).select(*keys, "_r", "_n",
+                                                             F.col("_lo").alias("_x"))
     rest = ctrl.where(F.col("_lo") < F.col("_hi"))
-    intervals = bounded_broadcast(rest.select(*iv).distinct())
-    ranked = (data.join(intervals, keys)
-                  .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-                  .withColumn("_k", F.row_number().over(Window.partitionBy(*iv).orderBy("_v")) - 1))
+    ranked = (_attach_intervals(data, rest.select(*iv).distinct(), keys, bool(by))
+              .withColumn("_k", F.row_number().over(Window.partitionBy(*iv).orderBy("_v")) - 1))
     picked = (rest.join(ranked, iv).where(F.col("_k") == F.col("_r") - F.col("_below"))
-                  .select(*keys, "_r", F.col("_v").alias("_x")))
+                  .select(*keys, "_r", "_n", F.col("_v").alias("_x")))
     values = settled.unionByName(picked)
-    per_group = values.groupBy(*keys).agg(
+    # one row per group: at most 2 x len(probs) (rank, value) entries
+    out = values.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
         F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
-
-    out = stats.join(per_group, keys)
     cols = [F.col(k) for k in by]
     for name, p in probs.items():
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
