@@ -38,8 +38,11 @@ def epkm_null_guard(amount="total_amount", distance="travel_distance") -> Column
 
 
 def coerce_running_date(df: DataFrame) -> DataFrame:
-    """Parse ``running_date`` leniently (bad text -> NULL) and drop NULLs."""
-    ts = F.try_to_timestamp(F.col("running_date").cast("string"))
+    """Parse ``running_date`` leniently (bad text -> NULL) and drop NULLs.
+
+    The result is a naive wall-clock TIMESTAMP_NTZ, so nothing depends on
+    the session time zone."""
+    ts = F.col("running_date").cast("string").try_cast("timestamp_ntz")
     return df.withColumn("running_date", ts).where(F.col("running_date").isNotNull())
 
 
