@@ -46,15 +46,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset (local tests) a fresh folder under the system temp
     directory is created and registered.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the setting
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="wayfare-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+        spark.conf.set("spark.checkpoint.dir", path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
+        return sc.getCheckpointDir() or path
+    return path
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
