@@ -55,7 +55,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="wayfare-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir() or path
