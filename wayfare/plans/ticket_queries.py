@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import domains, enrich, filters
@@ -38,7 +40,7 @@ def _optimization_df(inp):
 def q_scan_tickets(inp):
     """Ticket facts written as header CSV to the shared scratch folder
     and scanned back with the declared schema."""
-    path = export_csv(inp.tickets, scratch_path(inp.spark, "scan_tickets"), "tickets", dated=False)
+    path = export_csv(inp.tickets, scratch_path(inp.spark, "scan_tickets", uuid.uuid4().hex), "tickets", dated=False)
     return read_tickets(inp.spark, path, fmt="csv")
 
 
@@ -64,7 +66,7 @@ def q_export_filtered(inp):
     cols = ["trip_no", "route_no", "schedule_no", "vehicle_no", "ticket_date", "ticket_time",
             "px_count", "px_total_amount", "travelled_KM", "service_type", "ticket_type"]
     out = inp.filtered.select(cols)
-    path, n = export_csv_with_count(out, scratch_path(inp.spark, "export"), "transport_data")
+    path, n = export_csv_with_count(out, scratch_path(inp.spark, "export", uuid.uuid4().hex), "transport_data")
     back = inp.spark.read.option("header", True).schema(out.schema).csv(path)
     return back.withColumn("exported_rows", F.lit(n).cast("long"))
 

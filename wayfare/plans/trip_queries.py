@@ -7,6 +7,8 @@ dashboard's (EPKM-D).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import iso_week, month_number_of_name
@@ -34,7 +36,7 @@ MONTHLY_SQL = ", ".join(MONTHLY_COLS)
 def q_scan_trips(inp):
     """The trip sheet stored as ``{root}/{sheet}`` parquet in the
     shared scratch folder and scanned back by sheet name."""
-    root = scratch_path(inp.spark, "workbook")
+    root = scratch_path(inp.spark, "workbook", uuid.uuid4().hex)
     inp.trips.write.mode("overwrite").parquet(f"{root}/trip_revenue-5")
     return read_trips(inp.spark, root, sheet="trip_revenue-5")
 
