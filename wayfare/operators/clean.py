@@ -18,23 +18,25 @@ from pyspark.sql import functions as F
 
 from ..functions import (day_name, hms_to_hours, key_to_text, month_name, round_half_even_binary,
                          safe_div, to_double, to_long)
+from ..functions.numeric import col
 
 EPSILON = 1e-9  # fixed value: distance offset of the epsilon EPKM variant
 
 
 def epkm_zero_guard(amount="total_amount", distance="travel_distance") -> Column:
-    a, d = F.col(amount) if isinstance(amount, str) else amount, F.col(distance) if isinstance(distance, str) else distance
-    return round_half_even_binary(F.coalesce(safe_div(a, d), F.lit(0.0)), 2)
+    """EPKM-B: amount / distance; x/0, NaN, NULL -> 0; rounded to 2 places."""
+    return round_half_even_binary(F.coalesce(safe_div(col(amount), col(distance)), F.lit(0.0)), 2)
 
 
 def epkm_epsilon(amount="total_amount", distance="travel_distance") -> Column:
-    a, d = F.col(amount) if isinstance(amount, str) else amount, F.col(distance) if isinstance(distance, str) else distance
-    return round_half_even_binary(F.coalesce(safe_div(a, d + F.lit(EPSILON)), F.lit(0.0)), 2)
+    """EPKM-C: amount / (distance + 1e-9); NaN, NULL -> 0; rounded to 2 places."""
+    d = col(distance) + F.lit(EPSILON)
+    return round_half_even_binary(F.coalesce(safe_div(col(amount), d), F.lit(0.0)), 2)
 
 
 def epkm_null_guard(amount="total_amount", distance="travel_distance") -> Column:
-    a, d = F.col(amount) if isinstance(amount, str) else amount, F.col(distance) if isinstance(distance, str) else distance
-    return F.coalesce(safe_div(a, F.nullif(d, F.lit(0.0))), F.lit(0.0))
+    """EPKM-D: distance 0 -> NULL, amount / distance, NULL -> 0; unrounded."""
+    return F.coalesce(safe_div(col(amount), F.nullif(col(distance), F.lit(0.0))), F.lit(0.0))
 
 
 def coerce_running_date(df: DataFrame) -> DataFrame:
