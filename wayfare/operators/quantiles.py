@@ -24,6 +24,7 @@ interpolation (``a + (b-a)t``, or ``b - (b-a)(1-t)`` when ``t >= 0.5``).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +87,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
     ctrl = stats.select(*keys, F.explode(F.array_distinct(F.array(*rank_exprs))).alias("_r"),
                         F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
                         F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"), "_n")
+    # groups x targets rows: kept so the open-interval probe and the final
+    # assembly do not both recompute the per-group statistics pass
+    ctrl = ctrl.persist(StorageLevel.MEMORY_AND_DISK)
 
     iv = [*keys, "_lo", "_hi"]
     for _ in range(max_rounds):
