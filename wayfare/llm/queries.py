@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import decontam, mixing, quality, sharding, urlfilter
 
 WORDS = r"[^\x20\x09-\x0D]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,52 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select("doc_id", "n_words", *quality.BASE, failed.alias("base_failed"),
                       (~failed & F.col("kept")).alias("kept"))
+
+
+SQL["op7_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+        FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)
+), m AS (SELECT dw.doc_id, dw.i, dw.k, win.item_id FROM dw JOIN win USING (k, g)
+), hit AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS n_hit
+           FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM m) GROUP BY 1
+), it AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items,
+                 string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM m GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 10 words found in every document (Wu-Manber)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bench = table(spark, sf_dir, "benchmark")
+    out = decontam.find_contamination(docs, "text", bench, "item_id", "text", keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
+             ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or path-template verdict for every page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge_urls(pages, "url", URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "template", "purity")
