@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, sharding, urlfilter
+from . import decontam, mixing, quality, sharding, substring, urlfilter
 
 WORDS = r"[^\x20\x09-\x0D]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,27 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge_urls(pages, "url", URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+SQL["op10_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), firsts AS (SELECT g, min(doc_id) AS f FROM win GROUP BY 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN firsts USING (g) WHERE f < doc_id
+), lost AS (SELECT doc_id, count(*)::BIGINT AS n_removed, list(j) AS js FROM gone GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(CASE WHEN n_removed IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(js, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents covered by 13-word windows that an earlier document has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, "doc_id", "text")

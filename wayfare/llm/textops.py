@@ -121,6 +121,14 @@ def ngram_hash(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(h)
 
 
+def run_hash(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of the runs ``a:b`` of word hashes, whatever their lengths."""
+    p, inv = _powers(len(words) + 1)
+    h = np.zeros(len(words) + 1, U64)
+    np.cumsum(words * p[:len(words)], out=h[1:])
+    return mix64((h[b] - h[a]) * inv[a] + (b - a).astype(U64) * _Q)
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, int64 offsets) of a string array; NULL counts as empty."""
     if isinstance(col, pa.ChunkedArray):
