@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, quality, sharding, substring, urlfilter
+from . import decontam, htmltext, jaccard, mixing, quality, sharding, substring, urlfilter
 
 WORDS = r"[^\x20\x09-\x0D]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under Jaccard 0.85 of 4-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.jaccard_components(docs, "doc_id", "text")
+
+
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without the low-importance branches of its site's style tree."""
+    pages = table(spark, sf_dir, "pages")
+    out = htmltext.extract_text(pages, "url", "html", keep=["page_id", "url"])
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
