@@ -20,8 +20,8 @@ sets that would meet in a segment without elements.
 are made.  Entries that two classes share are looked at with a sketch of each
 set (64 counters modulo 16, whose distance never exceeds the sets' difference),
 so a pair that cannot link is dropped in its bucket.  A first round verifies
-one partner per set and bucket against the exact sets; a second verifies every
-remaining pair whose ends are not connected yet, so no link between components
+one partner per set, its smallest candidate, against the exact sets; a second
+verifies every remaining pair whose ends are not connected yet, so no link between components
 is lost and no group's pairs are listed in full.
 
 Documents without words have an empty set and link with nothing; fewer words
@@ -363,15 +363,16 @@ def _verify(percent: int):
 
 def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose exact sets link.  Sets are made only for documents whose
-    id passes a filter of 2^FILTER_BITS bits (8 MB) over the pairs' ids."""
+    id passes a filter of 2^FILTER_BITS bits (8 MB) over the pairs' ids, and are
+    dealt by id once for both ends of the pairs."""
     spark = docs.sparkSession
     words = pairs.mapInArrow(_slots, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
     bitmap = np.zeros(1 << (FILTER_BITS - 6), U64)
     bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U64)
-    sets = written(docs.mapInArrow(_sets(width, spark.sparkContext.broadcast(bitmap)), "id long, set binary")
-                   .dropDuplicates(["id", "set"]), "sets")
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b").select("a", "b", "s", "t"))
+    sets = (docs.mapInArrow(_sets(width, spark.sparkContext.broadcast(bitmap)), "id long, set binary")
+            .repartition("id").dropDuplicates(["id", "set"]))
+    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
+            .join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").select("a", "b", "s", "t"))
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -400,7 +401,9 @@ def jaccard_components(df: DataFrame, ident: str, text: str, width: int = WIDTH,
     index = written(shared.join(reps, "id").select(part.alias("part"), "key", "id", "n", "sketch"), "index")
 
     def round_(index: DataFrame, every: bool) -> DataFrame:
-        pairs = index.groupBy("part").applyInArrow(_pairs(percent, every), "a long, b long").distinct()
+        pairs = index.groupBy("part").applyInArrow(_pairs(percent, every), "a long, b long")
+        # at first, one partner per set: the smallest candidate
+        pairs = pairs.distinct() if every else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         return written(_links(docs, written(pairs, "pairs"), width, percent), "links")
 
     first = round_(index.withColumn("component", F.col("id")), False)

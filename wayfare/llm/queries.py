@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, jaccard, mixing, quality, sharding, substring, urlfilter
+from . import decontam, htmltext, jaccard, linededup, mixing, pii, quality, sharding, substring, urlfilter
 
 WORDS = r"[^\x20\x09-\x0D]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,23 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     out = htmltext.extract_text(pages, "url", "html", keep=["page_id", "url"])
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base kinds and identifiers found by bootstrapped contexts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find_pii(docs, "doc_id", "text")
+    base = F.filter("spans", lambda s: s["kind_no"] < 4)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind_no"] == k)).cast("long")
+    return out.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])],
+                      F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat a line (fuzzily) seen earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.duplicate_lines(docs, "doc_id", "text")
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+                      F.array_join("removed", ",").alias("removed_lines"))
