@@ -2,31 +2,66 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``.  All stages but the last return the columns of ``documents``.
+stage's ``docs``.  All stages but the last return the columns of ``documents``;
+the last adds ``shard`` and ``slot``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfare.llm import quality
+from wayfare.llm import decontam, jaccard, mixing, quality, sharding
+from wayfare.llm.names import free_name
+from wayfare.llm.queries import n_words, table
 from wayfare.llm.store import written
 
+SHARDS = 24
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects (operator 6)."""
     return quality.quality_filter(docs, "text")
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join (operator 3)."""
+    return jaccard.keep_one(docs, "doc_id", "text")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window (operator 7)."""
+    return decontam.drop_contaminated(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources to their target weights; a document is repeated
+    as often as the mix takes it (operator 4)."""
+    size = free_name(docs, "_words")
+    return mixing.take_mix(docs.withColumn(size, n_words(F.col("text"))), "source", size, drop=[size])
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document of the mix (operator 5)."""
+    return sharding.shard_rows(docs, SHARDS).drop("row_number")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("shard", shard),
+]
 
 #: cube sampling and the permutation have no SQL form
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage's result is written and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; every stage's result but the last's is
+    written and reread."""
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):

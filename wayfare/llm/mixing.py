@@ -18,7 +18,8 @@ landed together: the outcome that misses the two totals least.
 
 Blocks are hash groups of a source, so a source that holds a third of all rows
 is many blocks.  Draws are seeded by the block's content: reruns agree.  Equal
-rows are numbered copies of one row until they are dealt to blocks.
+rows are numbered copies of one row; the whole rows only meet their decision in
+one join.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .copies import row_key, with_copy_number
 from .names import col, free_name
 from .store import checkpoint
 
@@ -163,33 +165,39 @@ def mix_sources(df: DataFrame, source: str, size: str, weights=(1, 2, 3), max_re
     part with their probability; a source whose size is 0 has rate 0.  An empty
     table gives an empty result.  New columns whose names ``df`` has get
     underscores in front."""
-    own = [col(c) for c in df.columns]
+    own = list(df.columns)
     times, target, source_size = (free_name(df, c) for c in (times, target, source_size))
-    n, key, src = (free_name(df, c) for c in ("_n", "_key", "_src"))
-    counted = (df.groupBy(*own).agg(F.count(F.lit(1)).alias(n))
-               .withColumn(key, F.xxhash64(*own)))
-    light = checkpoint(counted.select(col(source).alias("_source"), F.col(key).alias("_key"),
-                                      col(size).cast("long").alias("_sz"), F.col(n).alias("_n")))
+    n, key, extra, whole, copy = (free_name(df, c) for c in ("_n", "_key", "_extra", "_whole", "_copy"))
+    light = checkpoint(df.select(col(source).alias("_source"), row_key(df).alias("_key"), col(size).cast("long").alias("_sz"))
+                       .groupBy("_source", "_key", "_sz").agg(F.count(F.lit(1)).alias("_n")))
     per = light.groupBy("_source").agg(F.sum(F.col("_sz") * F.col("_n")).alias("_size"),
                                        F.sum("_n").alias("_units"))
     goal = source_targets(per, "_source", "_size", weights, max_repeat)
     rates = checkpoint(per.join(goal, per["_source"].eqNullSafe(goal["_source"])).select(
-        F.xxhash64(per["_source"], per["_source"].isNull()).alias("_src"), per["_source"].alias("_source"),
+        F.xxhash64(per["_source"], per["_source"].isNull()).alias("_src"),
         "_size", "_units", "target",
         F.when(F.col("_size") > 0, F.col("target") / F.col("_size")).otherwise(0.0).alias("_rate")))
     largest = rates.agg(F.max("_units")).first()[0] or 0
     frac = F.col("_rate") - F.floor("_rate")
-    units = (light.withColumn("_src", F.xxhash64("_source", F.col("_source").isNull()))
-             .join(rates.select("_src", "_rate"), "_src")
+    keyed = light.withColumn("_src", F.xxhash64("_source", F.col("_source").isNull()))
+    units = (keyed.join(rates.select("_src", "_rate"), "_src")
              .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
              .select("_src", "_key", "_copy", F.col("_sz"), frac.cast("double").alias("_pi")))
-    chosen = cube_sample(units, int(largest)).groupBy("_src", "_key").agg(F.sum("_pi").cast("long").alias("_extra"))
-    plan = (chosen.join(rates, "_src")
-            .select(F.col("_key").alias(key), F.col("_src").alias(src), F.col("_extra"), F.floor("_rate").alias("_whole"),
-                    F.col("_size").alias(source_size), F.col("target").alias(target)))
-    joined = (counted.withColumn(src, F.xxhash64(col(source), col(source).isNull())).join(plan, [src, key]))
-    # the copies of a row: the first `extra` of them take one more
-    copy = free_name(joined, "_copy")
-    return (joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
-            .select(*own, F.col(source_size), F.col(target),
-                    (F.col("_whole") + F.when(F.col(copy) <= F.col("_extra"), 1).otherwise(0)).cast("long").alias(times)))
+    chosen = cube_sample(units, int(largest)).groupBy("_src", "_key").agg(
+        F.sum("_pi").cast("long").alias("_extra"), F.count(F.lit(1)).alias("_n"))
+    plan = chosen.join(rates, "_src").select(
+        F.col("_key").alias(key), F.col("_n").alias(n), F.col("_extra").alias(extra), F.floor("_rate").alias(whole),
+        F.col("_size").alias(source_size), F.col("target").alias(target))
+    joined = df.withColumn(key, row_key(df)).join(plan, key)
+    copies = with_copy_number(joined, own, key, n, copy)
+    return copies.select(*[col(c) for c in own], F.col(source_size), F.col(target),
+                         (F.col(whole) + F.when(F.col(copy) < F.col(extra), 1).otherwise(0)).cast("long").alias(times))
+
+
+def take_mix(df: DataFrame, source: str, size: str, drop: list[str] = (), **options) -> DataFrame:
+    """The mix itself: every row of ``df`` as often as it is taken, with the
+    columns of ``df`` less ``drop``."""
+    times = free_name(df, "_times")
+    mixed = mix_sources(df, source, size, times=times, **options).where(F.col(times) > 0)
+    kept = [c for c in df.columns if c not in drop]
+    return mixed.select(*[col(c) for c in kept], F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(times)).drop(times)

@@ -1,7 +1,7 @@
 """Sharding: a Feistel permutation of global row numbers.
 
-Every row gets a global number 0..N-1 in a fixed pseudo-random-free order
-(hash of the row's columns, then the columns), computed without a global
+Every row gets a global number 0..N-1 in a fixed order (by a hash of the row's
+columns, then the columns), computed without a global
 sort: rows fall into ``BUCKETS`` hash ranges, a window numbers the rows of a
 range, and the ranges' totals (at most ``BUCKETS`` rows, a documented bound)
 give the offsets.  A keyed balanced Feistel network permutes the smallest
@@ -11,9 +11,10 @@ below N) restricts it to 0..N-1.  With p the permuted number,
 most one row, slots have no gaps, and both can be computed for any row number
 (and inverted) without the data.
 
-Equal rows are counted before the shuffle and expanded afterwards, so a row
-repeated in a third of the table is one row while it is shuffled; which of the
-equal rows gets which of their slots makes no difference.
+Only row keys are numbered; whole rows meet their number in one join.  Equal
+rows are counted before the shuffle and expanded afterwards, so a row repeated
+in a third of the table is one row while it is shuffled; which of the equal
+rows gets which of their slots makes no difference.
 
 NULLs and empty texts are ordinary values; an empty table gives an empty
 result; extra columns are kept.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .copies import row_key, with_copy_number
 from .names import col, free_name
 
 BUCKETS = 1024
@@ -88,31 +90,28 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0,
     A result column whose name ``df`` already has gets underscores in front."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    own = [col(c) for c in df.columns]
-    h, n, at, base, total = (free_name(df, c) for c in ("_h", "_n", "_at", "_base", "_total"))
-    bucket = free_name(df, "_bucket")
-    row, shard, slot = (free_name(df, c) for c in (row, shard, slot))
-    counted = (df.groupBy(*own).agg(F.count(F.lit(1)).alias(n))
-               .withColumn(h, F.xxhash64(*own))
-               .withColumn(bucket, F.pmod(F.col(h), F.lit(BUCKETS)).cast("int")))
-    w = Window.partitionBy(bucket).orderBy(F.col(h), *[c.asc_nulls_first() for c in own])
-    inside = counted.withColumn(at, F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n))
+    own = list(df.columns)
+    key, n, copy, base, total = (free_name(df, c) for c in ("_key", "_n", "_copy", "_base", "_total"))
+    row, shard, slot, p = (free_name(df, c) for c in (row, shard, slot, "_p"))
+    counted = (df.select(row_key(df).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias(n))
+               .withColumn("_bucket", F.pmod(F.col(key), F.lit(BUCKETS)).cast("int")))
+    w = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    inside = counted.withColumn("_at", F.sum(n).over(w) - F.col(n))
     # at most BUCKETS rows from here to the broadcast
-    sizes = counted.groupBy(bucket).agg(F.sum(n).alias(total))
-    upto = Window.orderBy(bucket)
+    sizes = counted.groupBy("_bucket").agg(F.sum(n).alias("_t"))
     offsets = sizes.select(
-        bucket,
-        (F.sum(total).over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col(total)).alias(base),
-        F.sum(total).over(Window.partitionBy(F.lit(0))).alias(total))
-    numbered = inside.join(F.broadcast(offsets), bucket)
-    first = F.col(base) + F.col(at)
-    numbered = numbered.withColumn(row, F.explode(F.sequence(first, first + F.col(n) - 1)))
+        "_bucket",
+        (F.sum("_t").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_o"),
+        F.sum("_t").over(Window.partitionBy(F.lit(0))).alias(total))
+    starts = inside.join(F.broadcast(offsets), "_bucket").select(
+        key, n, total, (F.col("_o") + F.col("_at")).alias(base))
+    joined = df.withColumn(key, row_key(df)).join(starts, key)
+    numbered = with_copy_number(joined, own, key, n, copy).withColumn(row, F.col(base) + F.col(copy))
 
     def apply(rows: pd.Series, totals: pd.Series) -> pd.Series:
         return pd.Series(permute(rows.to_numpy(), int(totals.iloc[0]) if len(totals) else 0, seed))
 
     place = F.pandas_udf(apply, "long")
-    p = free_name(df, "_p")
     return (numbered.withColumn(p, place(F.col(row), F.col(total)))
-            .select(*own, F.col(row), F.pmod(F.col(p), F.lit(shards)).cast("int").alias(shard),
+            .select(*[col(c) for c in own], F.col(row), F.pmod(F.col(p), F.lit(shards)).cast("int").alias(shard),
                     F.expr(f"{p} div {shards}").cast("long").alias(slot)))
