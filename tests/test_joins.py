@@ -1,41 +1,46 @@
-"""Size-checked broadcast: a proven-small side is broadcast, a side over the
-bound falls back to a shuffle join (automatic broadcasting disabled here so
-only the hint can produce a broadcast)."""
+"""Lookups leave the join strategy to Spark: a small dimension is broadcast by
+its size in bytes, a large one is shuffled, and building a lookup runs no job."""
 
 import pytest
 
-from wayfare.operators.joins import bounded_broadcast
+from wayfare.operators.joins import lookup
+
+
+def _lookup(spark, n):
+    dim = spark.range(n).selectExpr("id AS k", "concat('name', id) AS name", "id AS ord")
+    return lookup(spark.range(1000).withColumnRenamed("id", "code"), dim, "code", "k", "name", "out")
 
 
 @pytest.fixture()
-def no_auto_broadcast(spark):
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    old_aqe = spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    yield
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    if old_aqe is None:
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    else:
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", old_aqe)
-
-
-def _join_plan(spark, small, capsys):
-    fact = spark.range(1000).withColumnRenamed("id", "k")
-    out = fact.join(small, "k")
-    capsys.readouterr()
-    out.explain()
-    return out.count(), capsys.readouterr().out
-
-
-def test_small_side_is_broadcast(spark, no_auto_broadcast, capsys):
-    dim = spark.range(10).withColumnRenamed("id", "k")
-    n, plan = _join_plan(spark, bounded_broadcast(dim, max_rows=100), capsys)
-    assert n == 10 and "BroadcastHashJoin" in plan
-
-
-def test_side_over_bound_is_not_broadcast(spark, no_auto_broadcast, capsys):
-    dim = spark.range(500).withColumnRenamed("id", "k")
-    n, plan = _join_plan(spark, bounded_broadcast(dim, max_rows=100), capsys)
-    assert n == 500 and "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+def threshold(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = [spark.conf.get(k, None) for k in keys]
+    yield lambda v: [spark.conf.set(k, v) for k in keys]
+    for k, v in zip(keys, old):
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_small_dimension_is_broadcast_at_run_time(spark, threshold):
+    threshold("1m")
+    assert "BroadcastHashJoin" in _final_plan(_lookup(spark, 10))
+
+
+def test_large_dimension_is_shuffled(spark, threshold):
+    threshold("1k")
+    plan = _final_plan(_lookup(spark, 5000))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_building_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "lookups only")
+    try:
+        _lookup(spark, 10)
+        assert list(tracker.getJobIdsForGroup("build")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

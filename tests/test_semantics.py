@@ -120,8 +120,8 @@ def test_pct_change_fills_forward(spark):
         "travel_distance double, Epkm double")
     out = {r.month: r.EPKM_MoM for r in trips.month_over_month(df).collect()}
     assert out["January"] is None and out["February"] == 0.0
-    assert out["March"] == 100.0 and out["April"] == -100.0 and out["May"] is None
-    inf = {r.month: r.EPKM_MoM for r in trips.month_over_month(df, base_zero="inf").collect()}
+    assert out["March"] == 100.0 and out["April"] == -100.0 and out["May"] == float("inf")
+    inf = out
     assert inf["May"] == math.inf
 
 
@@ -202,14 +202,73 @@ def test_coercion_drops_and_survives(spark):
     assert sorted(r.trip_number for r in ext) == [0, 1]
 
 
-def test_present_matches_column_function(spark):
-    from wayfare.functions.numeric import present_double
+def test_present_rounds_half_away_at_four_decimals(spark):
     from wayfare.plans.catalog import present
-    vals = [727.46125, -0.000049999, 1356.985, 2613174564140.6533, 1e-300, 0.0, None, float("nan"),
-            123456789.123456, -98765.43215, 5e15 + 0.3]
-    df = spark.createDataFrame([(v, v) for v in vals], "a double, b double")
-    got = present(df).collect()
-    exp = df.select(present_double("a").alias("a")).collect()
-    for g, e in zip(got, exp):
-        assert (g.a == e.a) or (g.a != g.a and e.a != e.a)
-        assert (g.a == g.b) or (g.a != g.a and g.b != g.b)
+    vals = [727.46127, -0.00004, 1356.985, 0.0, None, float("inf"), 123456789.123456, -98765.43217]
+    want = [727.4613, 0.0, 1356.985, 0.0, None, float("inf"), 123456789.12, -98765.4322]
+    got = present(spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, a double")).orderBy("i").collect()
+    assert [r.a for r in got] == want
+
+
+# ------------------------------------------------------------ order of results
+def test_bottom_routes_are_shown_descending(spark):
+    from wayfare.operators.tickets import bottom_routes_by_passengers
+    df = spark.createDataFrame([(str(i), i) for i in range(9)], "route_no string, px_count long")
+    assert [r.route_no for r in bottom_routes_by_passengers(df, 5).collect()] == ["4", "3", "2", "1", "0"]
+
+
+def test_zero_mean_km_schedule_ranks_first(spark):
+    from wayfare.operators.tickets import schedule_efficiency, top_schedules
+    rows = [("a", 100.0, 0.0), ("b", 90.0, 1.0), ("c", 80.0, 1.0), ("d", 70.0, 1.0), ("e", 0.0, 0.0), ("f", 1.0, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "schedule_no string, px_total_amount double, travelled_KM double, trip_no long")
+    got = [(r.schedule_no, r.epkm) for r in schedule_efficiency(df).collect()]
+    assert got == [("a", float("inf")), ("b", 90.0), ("c", 80.0), ("d", 70.0), ("e", None), ("f", None)]
+    assert [r.schedule_no for r in top_schedules(df, 3).collect()] == ["a", "b", "c"]
+
+
+def test_months_and_bins_in_calendar_order(spark, gap_frame):
+    months = ["April", "January", "March", "February"]
+    no = {"January": 1, "February": 2, "March": 3, "April": 4}
+    df = spark.createDataFrame([(m, dt.date(2024, no[m], 1), 1, 1, 1.0, 1.0, 1.0) for m in months],
+                               "month string, running_date date, total_passenger long, total_count long, "
+                               "total_amount double, travel_distance double, Epkm double")
+    want = ["January", "February", "March", "April"]
+    assert [r.month for r in trips.month_comparison(df).collect()] == want
+    assert [r.month for r in trips.month_over_month(df).collect()] == want
+    part = df.where("month <> 'March'")
+    got = trips.monthly_revenue(part, months_from=df).collect()
+    assert [r.month for r in got] == want and [r.total_amount for r in got] == [1.0, 1.0, None, 1.0]
+    for freq in ("D", "W-MON", "M"):
+        d = [r.period for r in spine.resample(gap_frame, "ts", freq, sums=[("s", "v")]).collect()]
+        assert d == sorted(d)
+
+
+# ------------------------------------------------------------ strict and lenient parsing
+def test_ticket_time_parts_that_are_null_give_null(spark):
+    from wayfare.operators.enrich import parse_ticket_datetime
+    df = spark.createDataFrame([("2024-01-01", "08:00:00"), (None, "08:00:00"), ("2024-01-01", None)],
+                               "ticket_date string, ticket_time string")
+    got = [r.ticket_datetime for r in parse_ticket_datetime(df).collect()]
+    assert got == [dt.datetime(2024, 1, 1, 8), None, None]
+
+
+def test_durations_with_days_and_bad_text(spark):
+    df = spark.createDataFrame([("1 days 02:00:00",), (None,), ("0:30:36.0",)], "t string")
+    assert [r.h for r in df.select(hms_to_hours("t").alias("h")).collect()] == [26.0, None, 0.51]
+    with pytest.raises(Exception, match="not a duration"):
+        spark.createDataFrame([("soon",)], "t string").select(hms_to_hours("t")).collect()
+
+
+def test_fractional_counts_fail(spark):
+    from wayfare.functions import to_long
+    df = spark.createDataFrame([("3",), ("x",), (None,), ("4.0",)], "t string")
+    assert [r.n for r in df.select(to_long("t").alias("n")).collect()] == [3, None, None, 4]
+    with pytest.raises(Exception, match="not a whole number"):
+        spark.createDataFrame([("2.5",)], "t string").select(to_long("t")).collect()
+
+
+def test_empty_route_selection_is_empty(spark):
+    from wayfare.operators.filters import cascade_route_schedule
+    df = spark.createDataFrame([("7", "3"), ("7", "4"), ("8", "3")], "route_no string, schedule_number string")
+    assert cascade_route_schedule(df, []).count() == 0 and cascade_route_schedule(df, ["7"], []).count() == 0
+    assert cascade_route_schedule(df, ["7"]).count() == 2 and cascade_route_schedule(df, ["7"], ["3"]).count() == 1

@@ -59,3 +59,56 @@ def test_export_names_and_count(spark, tmpdir_path):
 def test_union_batches(spark):
     a, b = spark.range(3), spark.range(3, 5)
     assert union_batches([a, b]).count() == 5
+
+
+def test_dimension_order_over_several_files(spark, tmpdir_path):
+    import os
+
+    from wayfare.operators.joins import dedupe_last
+    os.makedirs(f"{tmpdir_path}/d")
+    with open(f"{tmpdir_path}/d/part-0.csv", "w") as f:
+        f.write("ticket_type_id,ticket_type_name\n1,old\n")
+    with open(f"{tmpdir_path}/d/part-1.csv", "w") as f:        # larger, so Spark packs it first
+        f.write("ticket_type_id,ticket_type_name\n1,new\n" + "2,x\n" * 2000)
+    d = read_dimension(spark, f"{tmpdir_path}/d", S.TICKET_TYPE)
+    got = {r.ticket_type_id: r.ticket_type_name for r in dedupe_last(d, ["ticket_type_id"], ["ticket_type_name"]).collect()}
+    assert got == {1: "new", 2: "x"}
+
+
+def test_thin_and_dirty_sheet(spark, tmpdir_path):
+    from wayfare.operators import clean
+    df = spark.createDataFrame([("2024-01-01", "A", "1", "2", "10.5"), ("2024-01-02", "A", "1", "2", "abc"), ("bad", "A", "1", "2", "1")],
+                               "running_date string, color_line string, route_no string, schedule_number string, total_amount string")
+    df.write.parquet(f"{tmpdir_path}/s")
+    df.write.option("header", True).csv(f"{tmpdir_path}/c")
+    for back in (read_trips(spark, f"{tmpdir_path}/s"), read_trips(spark, f"{tmpdir_path}/c", fmt="csv")):
+        assert "travel_distance" not in back.columns
+        got = clean.clean_trips_extended(back).collect()
+        assert [(r.total_amount, r.travel_distance, r.trip_number) for r in got] == [(10.5, 0.0, 0)]
+
+
+def test_two_materialised_inputs_do_not_collide(spark):
+    from wayfare.plans.inputs import Inputs
+    a = Inputs(spark, "/root/testdata/sf0.001", materialize="table")
+    n = a.trips_basic.count()
+    Inputs(spark, "/root/testdata/sf0.01", materialize="table").trips_basic.count()
+    assert a.trips_basic.count() == n
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from wayfare.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())

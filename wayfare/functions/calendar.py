@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from .numeric import col
 
-# English month and day names in calendar order (Monday first).
-MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July",
-               "August", "September", "October", "November", "December"]
+# English day names in calendar order (Monday first).
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday",
              "Saturday", "Sunday"]
 
@@ -51,18 +49,15 @@ def month_start(d) -> Column:
 
 
 def hms_to_hours(s) -> Column:
-    """``H:MM:SS`` text -> fractional hours (hours may exceed 24).
-
-    A part that is not a number makes the whole value NULL.
+    """Duration text -> fractional hours: ``H:MM:SS`` (hours may exceed 24), with
+    an optional day part as in ``1 days 02:00:00``.  NULL stays NULL; text that
+    is no duration fails the query, as the strict parser of the month sheet does.
     """
-    parts = F.split(col(s), ":")
-    h = parts.getItem(0).try_cast("double")
-    m = parts.getItem(1).try_cast("double")
-    sec = parts.getItem(2).try_cast("double")
-    ok = F.size(parts) == 3
-    return F.when(ok, h + m / F.lit(60.0) + sec / F.lit(3600.0))
-
-
-def day_spine(start, end) -> Column:
-    """Array of every date from start to end inclusive."""
-    return F.sequence(F.to_date(col(start)), F.to_date(col(end)), F.expr("interval 1 day"))
+    t = F.trim(col(s))
+    form = r"^(?:([0-9]+) days?,? )?([0-9]+):([0-9]+):([0-9]+(?:\.[0-9]+)?)$"
+    part = lambda i: F.regexp_extract(t, form, i)
+    days = F.coalesce(part(1).try_cast("double"), F.lit(0.0))
+    hours = (days * F.lit(24.0) + part(2).cast("double") + part(3).cast("double") / F.lit(60.0)
+             + part(4).cast("double") / F.lit(3600.0))
+    bad = F.raise_error(F.concat(F.lit("not a duration: "), t)).cast("double")
+    return F.when(t.isNull(), F.lit(None)).when(t.rlike(form), hours).otherwise(bad)

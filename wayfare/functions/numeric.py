@@ -28,14 +28,14 @@ def to_double(c) -> Column:
 
 
 def to_long(c) -> Column:
-    """Coercing integer parse: text of a whole number -> bigint, else NULL.
+    """Whole numbers of a lenient numeric parse: bad text and NaN -> NULL.
 
-    A fractional value is not truncated; it becomes NULL so that a data
-    quality count can see it.
-    """
-    v = col(c).try_cast("double")
-    # NaN and +/-inf leave a NaN remainder, so they also become NULL
-    return F.when((v % F.lit(1.0)) == 0, v.try_cast("bigint"))
+    A fractional number is not truncated and not dropped: it fails the query,
+    as the reference's conversion to nullable integers does."""
+    v = to_double(c)
+    whole = (v % F.lit(1.0)) == 0
+    bad = F.raise_error(F.concat(F.lit("not a whole number: "), v.cast("string"))).cast("bigint")
+    return F.when(v.isNull(), F.lit(None)).when(whole, v.try_cast("bigint")).otherwise(bad)
 
 
 def safe_div(num, den) -> Column:
@@ -73,45 +73,6 @@ def round_half_away(c, digits: int = 4) -> Column:
     return F.signum(c) * (v - v % F.lit(1.0)) / F.lit(scale)
 
 
-def round_significant(c, significant: int, decimals: int | None = None) -> Column:
-    """Round half away from zero to ``significant`` digits, and to at most
-    ``decimals`` places when given.
-
-    Only exact powers of ten are used as factors (multiplying for small
-    magnitudes, dividing for large ones), so the same IEEE operations give
-    the same result outside Spark.
-    """
-    c = col(c)
-    a = F.abs(c)
-    mag = F.floor(F.log10(a)).cast("double")
-    k = F.lit(float(significant - 1)) - mag
-    if decimals is not None:
-        k = F.least(k, F.lit(float(decimals)))
-    up = F.pow(F.lit(10.0), k)
-    down = F.pow(F.lit(10.0), -k)
-
-    def fl(v):
-        # floor in double precision (``floor`` returns a saturating bigint)
-        return v - v % F.lit(1.0)
-
-    scaled_up = F.signum(c) * fl(a * up + F.lit(0.5)) / up
-    scaled_down = F.signum(c) * fl(a / down + F.lit(0.5)) * down
-    return (F.when(c.isNull() | F.isnan(c) | (a == F.lit(float("inf"))) | (c == 0), c)
-             .when(k >= 0, scaled_up)
-             .otherwise(scaled_down))
-
-
-def present_double(c, decimals: int = 4, significant: int = 11, snap: int = 12) -> Column:
-    """Presentation of a double for comparison with another engine.
-
-    Two stages: snap to ``snap`` significant digits (absorbing summation-order
-    noise, so both engines then hold the same double even for values that
-    are exact decimal ties such as 727.46125), then round to ``decimals``
-    places capped at ``significant`` digits.
-    """
-    return round_significant(round_significant(c, snap), significant, decimals)
-
-
 def null_safe_sum(c) -> Column:
     """Sum that is 0 (not NULL) for an empty or all-NULL group."""
     return F.coalesce(F.sum(col(c)), F.lit(0))

@@ -22,9 +22,10 @@ def map_service_type(tickets: DataFrame, service_types: DataFrame) -> DataFrame:
 
 
 def parse_ticket_datetime(tickets: DataFrame) -> DataFrame:
-    """``ticket_datetime`` from date + time text (strict: a malformed
-    value fails the query), then ``ticket_date`` becomes its date part."""
-    ts = F.to_timestamp_ntz(F.concat_ws(" ", "ticket_date", "ticket_time"),
+    """``ticket_datetime`` from date + time text (NULL if either part is
+    NULL; a malformed value fails the query), then ``ticket_date`` becomes its
+    date part."""
+    ts = F.to_timestamp_ntz(F.concat("ticket_date", F.lit(" "), "ticket_time"),
                             F.lit("yyyy-MM-dd HH:mm:ss"))
     return (tickets.withColumn("ticket_datetime", ts)
                    .withColumn("ticket_date", F.to_date("ticket_datetime")))

@@ -132,7 +132,10 @@ def filter_route_distance(df: DataFrame, route: str = "All", min_km=0, max_km=No
 def filter_vehicle_dates(df: DataFrame, vehicle: str = "All", start=None, end=None,
                          ts_col: str = "ticket_datetime") -> DataFrame:
     """Vehicle or "All" AND inclusive date-level range (defaults: the
-    first and last date of the data)."""
+    first and last date of the data, which every dated row is in)."""
+    if start is None and end is None:
+        df = df.where(F.col(ts_col).isNotNull())
+        return df if vehicle == "All" else df.where(F.col("vehicle_no") == F.lit(vehicle))
     if vehicle != "All":
         df = df.where(F.col("vehicle_no") == F.lit(vehicle))
     if start is None or end is None:

@@ -1,10 +1,11 @@
-"""Join building blocks: size-checked broadcast, last-wins dedupe, lookups.
+"""Join building blocks: last-wins dedupe and lookups.
 
 The dashboards map codes through Python dicts.  Here each dict becomes a
-de-duplicated dimension DataFrame joined with a left equi-join.  A side is
-broadcast only after a row-count probe proves it small; otherwise the join
-is left to Catalyst / AQE (sort-merge with skew splitting, or a runtime
-switch to broadcast once the real size is known).
+de-duplicated dimension DataFrame joined with a left equi-join.  No side is
+forced to broadcast: Catalyst broadcasts a side whose size statistics (bytes)
+are below ``spark.sql.autoBroadcastJoinThreshold``, and AQE switches to a
+broadcast join at run time once a de-duplicated dimension's real size is known;
+beyond the threshold the join is a sort-merge join with skew splitting.
 """
 
 from __future__ import annotations
@@ -12,21 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension (in rows) that is broadcast to every executor.  Rows of
-# the lookup tables are a few dozen bytes, so this stays far below the
-# executor memory a broadcast may take.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
-
-    The probe is ``limit(max_rows + 1).count()``: it stops reading as soon as
-    the bound is exceeded, so checking a large table costs little.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def dedupe_last(dim: DataFrame, keys: list[str], values: list[str], order_col: str = "ord") -> DataFrame:
     """One row per key: the values of the row with the greatest ``order_col``.
@@ -49,7 +35,6 @@ def lookup(df: DataFrame, dim: DataFrame, left_key: str, dim_key: str, value: st
     """
     d = dedupe_last(dim, [dim_key], [value], order_col).select(
         F.col(dim_key).alias("_lk"), F.col(value).alias(out))
-    d = bounded_broadcast(d)
     return df.join(d, df[left_key] == d["_lk"], "left").drop("_lk")
 
 
@@ -63,7 +48,6 @@ def lookup_with_fallback(df: DataFrame, dim: DataFrame, keys: list[str], value:
     d = (dedupe_last(dim, keys, [value], order_col)
          .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                  F.col(value).alias("_val"), F.lit(True).alias("_matched")))
-    d = bounded_broadcast(d)
     cond = [df[k] == d[f"_k{i}"] for i, k in enumerate(keys)]
     j = df.join(d, cond, "left")
     j = j.withColumn(target, F.when(F.col("_matched"), F.col("_val")).otherwise(F.col(target)))

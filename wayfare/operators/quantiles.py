@@ -2,138 +2,171 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation
 buffer, and a group here (a service type) can hold a third of all rows.
-This operator finds the exact order statistics by *histogram refinement*:
-
-1. one aggregate gives count / min / max per group; the ranks needed for
-   linear interpolation (``(n-1)p`` floored and ceiled) become targets, each
-   with a candidate interval [min, max] and ``below`` = 0 values beneath it;
-2. while some target's interval holds more than ``max_exact`` values, every
-   active interval is cut into ``bins`` equal-width bins and one grouped
-   count (partially aggregated per task, so hot groups are pre-reduced) gives
-   per-bin count / min / max; a window over at most ``bins`` rows per
-   interval accumulates the counts and each target moves to the bin holding
-   its rank (interval = the bin's actual min..max);
-3. the remaining intervals hold at most ``max_exact`` values each, so a
-   window over each interval ranks them and the target rank is read off.
-
-The control table (groups x targets rows) is checkpointed to the shared
-checkpoint folder after every refinement round to cut lineage; the only
-value returned to the driver per round is one count.  The result equals numpy's / pandas' linear
-interpolation (``a + (b-a)t``, or ``b - (b-a)(1-t)`` when ``t >= 0.5``).
+This operator narrows an open interval around each order statistic:
+
+1. one grouped pass gives count and a bounded quantile sketch per group; the
+   ranks needed for linear interpolation (``(n-1)p`` floored and ceiled) become
+   targets, each with two pivots from the sketch just below and above it;
+2. a grouped pass counts the values below, at, between and above the pivots
+   (exactly) and sketches those in between; a target at a pivot is settled,
+   else its interval becomes the region that holds its rank.  The region
+   between two pivots holds about 8 / ``accuracy`` of the interval, so the
+   number of passes grows with the logarithm of a group's size;
+3. once every open interval is counted to hold at most ``exact_max`` values,
+   one pass lists them in order and the ranks are read off.
+
+There is one path for every data size.  The control table (a row per group)
+is written to the shared folder after each pass, which cuts lineage and gives
+the next join its size in bytes; one number per pass returns to the driver.
+The result equals numpy's / pandas' linear interpolation (``a + (b-a)t``, or
+``b - (b-a)(1-t)`` when ``t >= 0.5``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from .joins import bounded_broadcast
+from ..session import scratch_path
+
+ACCURACY = 10_000
+EXACT_MAX = 5_000
+
+
+def keep_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _lerp(a, b, t):
     return F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
 
 
-def _attach_intervals(data: DataFrame, intervals: DataFrame, keys: list[str], grouped: bool) -> DataFrame:
-    """Rows of ``data`` whose value lies in a candidate interval of their group,
-    with the interval's ``_lo`` / ``_hi`` attached.
+def _inside(v, lo, hi) -> Column:
+    """``lo < v < hi`` where a NULL bound is open."""
+    return (lo.isNull() | (v > lo)) & (hi.isNull() | (v < hi))
 
-    Grouped: an equi-join on the group keys (the interval table is broadcast
-    when the probe proves it small).  Ungrouped: the single group has at most
-    two intervals per requested probability, so they are read back and
-    applied as a CASE expression (no join at all).
-    """
-    v = F.col("_v")
+
+# relative ranks at which a region's sketch is read
+_STEPS = 250
+_GRID = [i / _STEPS for i in range(_STEPS + 1)]
+
+
+def _pick(grid: Column, rank: Column, count: Column) -> tuple[Column, Column]:
+    """The sketch's values a step below and above a rank of ``count`` values."""
+    at = F.floor(rank.cast("double") / count * _STEPS).cast("int")
+    return F.get(grid, F.greatest(at - 1, F.lit(0))), F.get(grid, F.least(at + 2, F.lit(_STEPS)))
+
+
+def _attach(data: DataFrame, ctrl: DataFrame, keys: list[str], grouped: bool) -> DataFrame:
+    """Rows with their group's control columns: a join on the group keys (a
+    broadcast where the written table's size in bytes allows), or literals if
+    there is one group."""
     if grouped:
-        j = data.join(bounded_broadcast(intervals), keys)
-        return j.where((v >= F.col("_lo")) & (v <= F.col("_hi")))
-    rows = intervals.select("_lo", "_hi").collect()
-    lo, hi = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for r in rows:
-        inside = (v >= F.lit(r["_lo"])) & (v <= F.lit(r["_hi"]))
-        lo = F.when(inside, F.lit(r["_lo"])).otherwise(lo)
-        hi = F.when(inside, F.lit(r["_hi"])).otherwise(hi)
-    return data.withColumn("_lo", lo).withColumn("_hi", hi).where(F.col("_lo").isNotNull())
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(),
-                    max_exact: int = 200_000, bins: int = 1024, max_rounds: int = 32) -> DataFrame:
+        return data.join(ctrl, keys)
+    row = ctrl.drop(*keys).first()
+    types = dict(ctrl.dtypes)
+    return data.withColumns({c: F.lit(v).cast(types[c]) for c, v in (row.asDict() if row else {}).items()})
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(), also: dict[str, Column] | None = None,
+                    accuracy: int = ACCURACY, exact_max: int = EXACT_MAX) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per ``by`` group.
 
     ``probs`` maps output column -> probability.  NULL / NaN values and NULL
-    group keys are skipped (as a pandas groupby quantile does); a group
-    without values has no row.
+    group keys are skipped (as a pandas groupby quantile does).  ``also`` adds
+    aggregates of the group, computed in the first pass; without it a group
+    that has no values has no row, with it its quantiles are NULL.
     """
     by = [by] if isinstance(by, str) else list(by)
     keys = by or ["_g"]
-    checkpoint_dir(df.sparkSession)
-    v = F.col(value).cast("double")
-    data = df.where(v.isNotNull() & ~F.isnan(v))
+    rows = df.where(F.lit(True))
     for k in by:
-        data = data.where(F.col(k).isNotNull())
+        rows = rows.where(F.col(k).isNotNull())
     if not by:
-        data = data.withColumn("_g", F.lit(0))
-    data = data.select(*keys, v.alias("_v"))
+        rows = rows.withColumn("_g", F.lit(0))
+    v = F.col(value).cast("double")
+    rows = rows.withColumn("_v", F.when(~F.isnan(v), v))
+    data = rows.where(F.col("_v").isNotNull()).select(*keys, "_v")
+    v = F.col("_v")
 
-    stats = data.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_min"),
-                                    F.max("_v").alias("_max"))
-    rank_exprs = []
-    for p in probs.values():
-        pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        lo = F.floor(pos)
-        rank_exprs += [lo, F.least(lo + 1, F.col("_n") - 1)]
-    ctrl = stats.select(*keys, F.explode(F.array_distinct(F.array(*rank_exprs))).alias("_r"),
-                        F.col("_min").alias("_lo"), F.col("_max").alias("_hi"),
-                        F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"), "_n")
-    # groups x targets rows: kept so the open-interval probe and the final
-    # assembly do not both recompute the per-group statistics pass
-    ctrl = ctrl.persist(StorageLevel.MEMORY_AND_DISK)
-
-    iv = [*keys, "_lo", "_hi"]
-    for _ in range(max_rounds):
-        open_ = (F.col("_cnt") > max_exact) & (F.col("_lo") < F.col("_hi"))
-        if ctrl.where(open_).limit(1).count() == 0:
+    # targets: two ranks per probability
+    near = 4.0 / accuracy
+    bounds = [q for p in probs.values() for q in (max(0.0, p - near), min(1.0, p + near))]
+    also = also or {}
+    first = rows.groupBy(*keys).agg(F.count(v).alias("_n"), F.percentile_approx(v, bounds, accuracy).alias("_s"),
+                                    *[e.alias(f"_a{i}") for i, e in enumerate(also.values())])
+    targets = range(2 * len(probs))
+    cols = {}
+    for t, p in zip(targets, [p for p in probs.values() for _ in (0, 1)]):
+        low = F.floor((F.col("_n") - 1).cast("double") * F.lit(float(p)))
+        cols |= {f"_r{t}": low if t % 2 == 0 else F.least(low + 1, F.col("_n") - 1),
+                 f"_L{t}": F.lit(None).cast("double"), f"_H{t}": F.lit(None).cast("double"),
+                 f"_b{t}": F.lit(0).cast("long"), f"_c{t}": F.col("_n"),
+                 f"_p{t}": F.get("_s", F.lit(t - t % 2)), f"_q{t}": F.get("_s", F.lit(t - t % 2 + 1)),
+                 f"_x{t}": F.lit(None).cast("double")}
+    ctrl = keep_table(first.withColumns(cols).drop("_s"), "quantiles")
+    state = [f"_{f}{t}" for t in targets for f in "rLHbcpqx"]
+    c = {n: F.col(n) for n in state}
+
+    while True:
+        wide = F.lit(False)
+        for t in targets:
+            wide = wide | (c[f"_x{t}"].isNull() & (c[f"_c{t}"] > exact_max))
+        if ctrl.where(wide).limit(1).count() == 0:
             break
-        active = ctrl.where(open_)
-        width = F.col("_hi") - F.col("_lo")
-        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(float(bins))),
-                    F.lit(bins - 1)).cast("long")
-        hist = (_attach_intervals(data, active.select(*iv).distinct(), keys, bool(by))
-                    .withColumn("_b", b)
-                    .groupBy(*iv, "_b")
-                    .agg(F.count("_v").alias("_c"), F.min("_v").alias("_bmin"),
-                         F.max("_v").alias("_bmax")))
-        w = Window.partitionBy(*iv).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("_cum", F.sum("_c").over(w))
-        local = F.col("_r") - F.col("_below")
-        moved = (active.join(hist, iv)
-                 .where((local >= F.col("_cum") - F.col("_c")) & (local < F.col("_cum")))
-                 .select(*keys, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                         (F.col("_below") + F.col("_cum") - F.col("_c")).alias("_below"),
-                         F.col("_c").alias("_cnt"), "_n"))
-        ctrl = ctrl.where(~open_).unionByName(moved).checkpoint()
-
-    settled = ctrl.where(F.col("_lo") == F.col("_hi")).select(*keys, "_r", "_n",
-                                                             F.col("_lo").alias("_x"))
-    rest = ctrl.where(F.col("_lo") < F.col("_hi"))
-    ranked = (_attach_intervals(data, rest.select(*iv).distinct(), keys, bool(by))
-              .withColumn("_k", F.row_number().over(Window.partitionBy(*iv).orderBy("_v")) - 1))
-    picked = (rest.join(ranked, iv).where(F.col("_k") == F.col("_r") - F.col("_below"))
-                  .select(*keys, "_r", "_n", F.col("_v").alias("_x")))
-    values = settled.unionByName(picked)
-    # one row per group: at most 2 x len(probs) (rank, value) entries
-    out = values.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
-    cols = [F.col(k) for k in by]
-    for name, p in probs.items():
+        aggs = []
+        for t in targets:
+            lo, hi, p, q = c[f"_L{t}"], c[f"_H{t}"], c[f"_p{t}"], c[f"_q{t}"]
+            open_ = c[f"_x{t}"].isNull() & (c[f"_c{t}"] > exact_max)
+            bare = p.isNull()
+            in_ = open_ & _inside(v, lo, hi)
+            region = in_ & _inside(v, F.when(bare, lo).otherwise(p), F.when(bare, hi).otherwise(q))
+            aggs += [F.count(F.when(in_ & (v < p), 1)).alias(f"_1{t}"), F.count(F.when(in_ & (v == p), 1)).alias(f"_2{t}"),
+                     F.count(F.when(region & ~bare, 1)).alias(f"_3{t}"),
+                     F.count(F.when(in_ & (v == q) & (q > p), 1)).alias(f"_4{t}"),
+                     F.percentile_approx(F.when(region, v), _GRID, accuracy).alias(f"_s{t}")]
+        seen = _attach(data, ctrl.select(*keys, *state), keys, bool(by)).groupBy(*keys).agg(*aggs)
+        both = ctrl.join(seen, keys, "left")
+        new = {}
+        for t in targets:
+            b, n, x, rank = c[f"_b{t}"], c[f"_c{t}"], c[f"_x{t}"], c[f"_r{t}"] - c[f"_b{t}"]
+            n1, n2, n3, n4 = (F.col(f"_{i}{t}") for i in (1, 2, 3, 4))
+            open_ = x.isNull() & (n > exact_max)
+            bare = c[f"_p{t}"].isNull()
+            grid = F.col(f"_s{t}")
+            here = _pick(grid, rank, n)
+            mid = _pick(grid, rank - n1 - n2, n3)
+            below, at_p, between, at_q = (open_ & ~bare & cond for cond in (
+                rank < n1, (rank >= n1) & (rank < n1 + n2), (rank >= n1 + n2) & (rank < n1 + n2 + n3),
+                (rank >= n1 + n2 + n3) & (rank < n1 + n2 + n3 + n4)))
+            above = open_ & ~bare & (rank >= n1 + n2 + n3 + n4)
+            none = F.lit(None).cast("double")
+            new |= {
+                f"_x{t}": F.when(at_p, c[f"_p{t}"]).when(at_q, c[f"_q{t}"]).otherwise(x),
+                f"_L{t}": F.when(between, c[f"_p{t}"]).when(above, c[f"_q{t}"]).otherwise(c[f"_L{t}"]),
+                f"_H{t}": F.when(below, c[f"_p{t}"]).when(between, c[f"_q{t}"]).otherwise(c[f"_H{t}"]),
+                f"_b{t}": F.when(between, b + n1 + n2).when(above, b + n1 + n2 + n3 + n4).otherwise(b),
+                f"_c{t}": F.when(below, n1).when(between, n3).when(above, n - n1 - n2 - n3 - n4).otherwise(n),
+                f"_p{t}": F.when(open_ & bare, here[0]).when(between, mid[0]).when(below | above, none).otherwise(c[f"_p{t}"]),
+                f"_q{t}": F.when(open_ & bare, here[1]).when(between, mid[1]).when(below | above, none).otherwise(c[f"_q{t}"])}
+        kept = [n for n in ctrl.columns if n not in new]
+        ctrl = keep_table(both.select(*kept, *[e.alias(k) for k, e in new.items()]), "quantiles")
+
+    # at most exact_max values a target
+    lists = [F.sort_array(F.collect_list(F.when(c[f"_x{t}"].isNull() & _inside(v, c[f"_L{t}"], c[f"_H{t}"]), v))).alias(f"_list{t}")
+             for t in targets]
+    listed = _attach(data, ctrl.select(*keys, *state), keys, bool(by)).groupBy(*keys).agg(*lists)
+    out = ctrl.join(listed, keys, "left")
+    done = [F.coalesce(c[f"_x{t}"], F.get(F.col(f"_list{t}"), (c[f"_r{t}"] - c[f"_b{t}"]).cast("int"))) for t in targets]
+    result = [F.col(k) for k in by] + [F.col(f"_a{i}").alias(k) for i, k in enumerate(also)]
+    for i, (name, p) in enumerate(probs.items()):
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        lo = F.floor(pos)
-        hi = F.least(lo + 1, F.col("_n") - 1)
-        t = pos - lo
-        a = F.try_element_at(F.col("_m"), lo)
-        bval = F.try_element_at(F.col("_m"), hi)
-        cols.append(F.when(t == 0, a).otherwise(_lerp(a, bval, t)).alias(name))
-    return out.select(*cols)
+        t = pos - F.floor(pos)
+        result.append(F.when(t == 0, done[2 * i]).otherwise(_lerp(done[2 * i], done[2 * i + 1], t)).alias(name))
+    return (out if also else out.where(F.col("_n") > 0)).select(*result)

@@ -11,23 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import round_half_away
 
-
-def _rank_value(value: str, tie_digits: int | None):
-    return F.col(value) if tie_digits is None else round_half_away(F.col(value), tie_digits)
-
-
-def top_k(df: DataFrame, value: str, keys, n: int, largest: bool = True,
-          tie_digits: int | None = None) -> DataFrame:
-    """The ``n`` rows with the largest (or smallest) ``value``.
-
-    ``tie_digits`` compares values rounded to that many decimals, so that
-    aggregates equal up to floating-point noise tie and are ordered by key.
-    """
+def top_k(df: DataFrame, value: str, keys, n: int, largest: bool = True) -> DataFrame:
+    """The ``n`` rows with the largest (or smallest) ``value``, in that order."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    v = _rank_value(value, tie_digits)
-    first = F.desc_nulls_last(v) if largest else F.asc_nulls_last(v)
+    first = F.desc_nulls_last(value) if largest else F.asc_nulls_last(value)
     return df.orderBy(first, *[F.asc_nulls_last(k) for k in keys]).limit(n)
 
 

@@ -1,19 +1,17 @@
 """Calendar bins with empty bins kept.
 
 A resample emits every bin between the first and the last bin that holds
-data: sums of empty bins are 0, means are NULL.  The spine of bin labels is
-built from a one-row min/max aggregate with ``sequence`` + ``explode``; its
-size is the number of calendar bins in the data's time span (bounded by the
-span, not by the data volume), and it is joined to the per-bin aggregate,
-which has at most as many rows.
+data: sums of empty bins are 0, means are NULL.  The gaps are filled from the
+per-bin aggregate itself (``lead`` + ``sequence`` + ``explode``); its size is the
+number of calendar bins in the data's time span, not the data volume.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import month_end, week_ending_monday
+from ..functions import month_end, null_safe_sum, week_ending_monday
 
 FREQS = ("D", "W-MON", "M")
 
@@ -34,32 +32,39 @@ def _step(freq: str) -> Column:
             "M": F.expr("interval 1 month")}[freq]
 
 
-def label_spine(binned: DataFrame, label: str, freq: str) -> DataFrame:
-    """Every bin label from the smallest to the largest label in ``binned``."""
-    b = binned.agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
+def fill_bins(per_bin: DataFrame, label: str, freq: str, zero=()) -> DataFrame:
+    """``per_bin`` (one row per bin that holds data) with the empty bins between
+    its first and its last: ``zero`` measures 0, the others NULL.
+
+    Every bin is followed by the bins up to the next one, so the grouping runs
+    once; the window runs over bins, whose number the time span bounds."""
+    after = F.lead(label).over(Window.orderBy(label))
     if freq == "M":
         # step over month starts, then label by month end
-        seq = F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), _step(freq))
-        return b.select(F.explode(seq).alias("_m")).select(F.last_day("_m").alias(label))
-    return b.select(F.explode(F.sequence("lo", "hi", _step(freq))).alias(label))
+        here = F.trunc(label, "month")
+        last = F.coalesce(F.add_months(F.trunc(after, "month"), -1), here)
+        bins = F.transform(F.sequence(here, last, _step(freq)), F.last_day)
+    else:
+        days = 1 if freq == "D" else 7
+        bins = F.sequence(F.col(label), F.coalesce(F.date_sub(after, days), F.col(label)), _step(freq))
+    out = per_bin.withColumn("_bins", bins).withColumn("_bin", F.explode("_bins"))
+    own = F.col("_bin") == F.col(label)
+    cols = [F.when(own, F.col(c)).otherwise(F.lit(0) if c in zero else F.lit(None)).alias(c)
+            for c in per_bin.columns if c != label]
+    return out.select(F.col("_bin").alias(label), *cols).orderBy(label)
 
 
 def resample(df: DataFrame, ts_col: str, freq: str, sums=(), means=(), counts=(),
              label: str = "period") -> DataFrame:
-    """Aggregate per calendar bin, keeping empty bins.
+    """Aggregate per calendar bin, keeping empty bins, in calendar order.
 
     ``sums``: (out, column) pairs -> 0 for empty bins; ``means``: (out, column)
     pairs -> NULL; ``counts``: (out, column) pairs (non-NULL count) -> 0.
     """
     binned = df.where(F.col(ts_col).isNotNull()).withColumn(label, bin_label(F.col(ts_col), freq))
-    aggs = ([F.sum(c).alias(o) for o, c in sums] + [F.avg(c).alias(o) for o, c in means]
+    aggs = ([null_safe_sum(c).alias(o) for o, c in sums] + [F.avg(c).alias(o) for o, c in means]
             + [F.count(c).alias(o) for o, c in counts])
-    per_bin = binned.groupBy(label).agg(*aggs)
-    spine = label_spine(per_bin, label, freq)
-    out = spine.join(per_bin, label, "left")
-    for o, _ in list(sums) + list(counts):
-        out = out.withColumn(o, F.coalesce(F.col(o), F.lit(0)))
-    return out
+    return fill_bins(binned.groupBy(label).agg(*aggs), label, freq, [o for o, _ in [*sums, *counts]])
 
 
 def reindex(agg: DataFrame, key: str, categories: list, fill=None, order_col: str | None = None) -> DataFrame:

@@ -62,17 +62,11 @@ def ols_by_service(df: DataFrame) -> DataFrame:
 
 def service_epkm_stats(df: DataFrame, service: str = "service_type") -> DataFrame:
     """Mean, exact median and exact 95th percentile of EPKM by service."""
-    means = (df.where(F.col(service).isNotNull()).groupBy(service)
-               .agg(F.avg("Epkm").alias("mean_epkm")))
-    q = exact_quantiles(df, "Epkm", {"median_epkm": 0.5, "p95_epkm": 0.95}, by=[service])
-    return means.join(q, service, "left")
+    return exact_quantiles(df, "Epkm", {"median_epkm": 0.5, "p95_epkm": 0.95}, by=[service],
+                           also={"mean_epkm": F.avg("Epkm")})
 
 
 def service_epkm_distribution(df: DataFrame, service: str = "service_type") -> DataFrame:
     """Five-number summary (exact quartiles) and count of EPKM by service."""
-    base = (df.where(F.col(service).isNotNull()).groupBy(service)
-              .agg(F.min("Epkm").alias("min_epkm"), F.max("Epkm").alias("max_epkm"),
-                   F.count("Epkm").alias("n")))
-    q = exact_quantiles(df, "Epkm", {"q1_epkm": 0.25, "median_epkm": 0.5, "q3_epkm": 0.75},
-                        by=[service])
-    return base.join(q, service, "left")
+    return exact_quantiles(df, "Epkm", {"q1_epkm": 0.25, "median_epkm": 0.5, "q3_epkm": 0.75}, by=[service],
+                           also={"min_epkm": F.min("Epkm"), "max_epkm": F.max("Epkm"), "n": F.count("Epkm")})

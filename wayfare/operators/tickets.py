@@ -106,8 +106,9 @@ def top_routes_by_passengers(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def bottom_routes_by_passengers(df: DataFrame, n: int = 5) -> DataFrame:
-    """A2: the ``n`` routes with fewest passengers."""
-    return top_k(route_passengers(df), "passengers", "route_no", n, largest=False)
+    """A2: the ``n`` routes with fewest passengers, shown from the most to the
+    fewest."""
+    return sort_by(top_k(route_passengers(df), "passengers", "route_no", n, largest=False), "passengers", "route_no")
 
 
 def daily_revenue_filled(df: DataFrame) -> DataFrame:
@@ -122,24 +123,24 @@ def peak_days(df: DataFrame, n: int = 3) -> DataFrame:
 
 
 # ------------------------------------------------------------ schedules
-def schedule_efficiency(route_df: DataFrame, zero_division: str = "null") -> DataFrame:
-    """A5: per schedule revenue, mean km, distinct trips and EPKM-E =
-    revenue / mean km (mean km 0 -> NULL, or +/-inf with ``zero_division="inf"``)."""
+def schedule_efficiency(route_df: DataFrame) -> DataFrame:
+    """A5: per schedule revenue, mean km, distinct trips and EPKM-E = revenue /
+    mean km, highest first.  A mean km of 0 gives +/-inf (0 / 0: NULL), as the
+    reference's division does, so such a schedule ranks first."""
     g = (_grouped(route_df, "schedule_no").groupBy("schedule_no")
          .agg(null_safe_sum("px_total_amount").cast("double").alias("revenue"),
               F.avg("travelled_KM").alias("mean_km"),
               F.count_distinct("trip_no").alias("trips")))
     epkm = safe_div(F.col("revenue"), F.col("mean_km"))
-    if zero_division == "inf":
-        inf = F.when(F.col("revenue") > 0, F.lit(float("inf"))).when(
-            F.col("revenue") < 0, F.lit(float("-inf")))
-        epkm = F.when(F.col("mean_km") == 0, inf).otherwise(epkm)
-    return g.withColumn("epkm", epkm)
+    inf = F.when(F.col("revenue") > 0, F.lit(float("inf"))).when(
+        F.col("revenue") < 0, F.lit(float("-inf")))
+    epkm = F.when(F.col("mean_km") == 0, inf).otherwise(epkm)
+    return sort_by(g.withColumn("epkm", epkm), "epkm", "schedule_no")
 
 
-def top_schedules(route_df: DataFrame, n: int = 3, tie_digits: int | None = None) -> DataFrame:
+def top_schedules(route_df: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` schedules of highest EPKM-E."""
-    return top_k(schedule_efficiency(route_df), "epkm", "schedule_no", n, tie_digits=tie_digits)
+    return top_k(schedule_efficiency(route_df), "epkm", "schedule_no", n)
 
 
 def trip_stats(route_df: DataFrame) -> DataFrame:
@@ -233,8 +234,8 @@ def monthly_distance(fleet_df: DataFrame) -> DataFrame:
             .agg(null_safe_sum("travelled_KM").cast("double").alias("distance")))
 
 
-def top_ev_routes(df: DataFrame, n: int = 3, tie_digits: int | None = None) -> DataFrame:
+def top_ev_routes(df: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` routes with the most EV km."""
     ev = _grouped(df.where(F.col("service_type") == EV), "route_no")
     g = ev.groupBy("route_no").agg(null_safe_sum("travelled_KM").cast("double").alias("ev_km"))
-    return top_k(g, "ev_km", "route_no", n, tie_digits=tie_digits)
+    return top_k(g, "ev_km", "route_no", n)

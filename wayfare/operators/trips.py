@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import DAY_NAMES, month_number_of_name, null_safe_sum, safe_div
 from . import spine
 from .domains import available_months
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, keep_table
 from .ranking import sort_by, top_k
 
 
+MAX_PIVOT = 500  # columns of a pivot
+
+
 def _g(df: DataFrame, *keys: str) -> DataFrame:
     for k in keys:
         df = df.where(F.col(k).isNotNull())
@@ -72,9 +75,9 @@ def monthly_revenue(df: DataFrame, months_from: DataFrame | None = None) -> Data
     to the months present in ``months_from`` (default: ``df``) in calendar
     order; months without rows get NULL."""
     agg = (_g(df, "month").groupBy("month")
-           .agg(F.sum("total_amount").alias("total_amount"), F.sum("total_count").alias("total_count")))
+           .agg(null_safe_sum("total_amount").alias("total_amount"), null_safe_sum("total_count").alias("total_count")))
     months = available_months(months_from if months_from is not None else df)
-    return months.join(agg, "month", "left")
+    return months.join(agg, "month", "left").orderBy(month_number_of_name(F.col("month")))
 
 
 def daily_revenue_in_month(df: DataFrame, month: str) -> DataFrame:
@@ -110,8 +113,8 @@ def route_dow(df: DataFrame, route: str) -> DataFrame:
     """One route by weekday: revenue, passengers, mean EPKM; 0 filled."""
     r = df.where(F.col("route_no") == F.lit(route))
     agg = (_g(r, "day_of_week").groupBy("day_of_week")
-           .agg(F.sum("total_amount").cast("double").alias("Total_Revenue"),
-                F.sum(F.col("total_count").cast("double")).alias("Total_Passengers"),
+           .agg(null_safe_sum("total_amount").cast("double").alias("Total_Revenue"),
+                null_safe_sum(F.col("total_count").cast("double")).alias("Total_Passengers"),
                 F.avg("Epkm").alias("Average_EPKM")))
     return _dow_spine(agg, fill=0)
 
@@ -120,20 +123,23 @@ def dow_passengers(df: DataFrame) -> DataFrame:
     """Mean and total passengers by weekday, 7 days, no fill."""
     agg = (_g(df, "day_of_week").groupBy("day_of_week")
            .agg(F.avg(F.col("total_count").cast("double")).alias("avg_passengers"),
-                F.sum("total_count").cast("long").alias("total_passengers")))
+                null_safe_sum("total_count").cast("long").alias("total_passengers")))
     return _dow_spine(agg)
 
 
 def dow_service_pivot(df: DataFrame, services: list | None = None) -> DataFrame:
     """Mean passengers by weekday x service, services as columns.
 
-    The service list is taken from the data when not given (one small
-    distinct query); pass it explicitly to keep the plan fully lazy.
+    The service list is taken from the data when not given (one distinct
+    query, of at most ``MAX_PIVOT`` services, else an error); pass it explicitly
+    to keep the plan fully lazy.
     """
     d = _g(df, "day_of_week", "service_type")
     if services is None:
         services = [r[0] for r in d.select("service_type").distinct()
-                    .orderBy("service_type").collect()]
+                    .orderBy("service_type").limit(MAX_PIVOT + 1).collect()]
+    if len(services) > MAX_PIVOT:
+        raise ValueError(f"a pivot of more than {MAX_PIVOT} services; select some")
     return (d.groupBy("day_of_week").pivot("service_type", services)
              .agg(F.avg(F.col("total_count").cast("double"))))
 
@@ -156,14 +162,15 @@ def schedule_epkm_vs_system(df: DataFrame, min_trips: int = 5) -> DataFrame:
             .withColumn("system_avg_epkm", sys_avg))
 
 
-def schedule_summary(df: DataFrame, min_trips: int = 5, tie_digits: int | None = None) -> DataFrame:
+def schedule_summary(df: DataFrame, min_trips: int = 5) -> DataFrame:
     """Best and worst schedule by mean EPKM and the median of the
-    schedule means (exact)."""
-    stats = schedule_stats(df, min_trips)
+    schedule means (exact).  The schedule table (a row per schedule) is written
+    once and used for all three."""
+    stats = keep_table(schedule_stats(df, min_trips), "schedule_stats")
 
     def one(largest):
         # a one-row top-k referenced as a scalar subquery (no join)
-        row = top_k(stats, "avg_epkm", "schedule_number", 1, largest, tie_digits)
+        row = top_k(stats, "avg_epkm", "schedule_number", 1, largest)
         return row.select(F.struct("schedule_number", "avg_epkm").alias("s")).select("s").scalar()
 
     best, worst = one(True), one(False)
@@ -174,14 +181,12 @@ def schedule_summary(df: DataFrame, min_trips: int = 5, tie_digits: int | None =
                       worst.getField("avg_epkm").alias("worst_epkm"), "median_epkm")
 
 
-def schedule_epkm_trend(df: DataFrame, schedules=None, min_trips: int = 5, n: int = 3,
-                        tie_digits: int | None = None) -> DataFrame:
+def schedule_epkm_trend(df: DataFrame, schedules=None, min_trips: int = 5, n: int = 3) -> DataFrame:
     """Mean EPKM per (date, schedule) for the selected schedules;
     by default the ``n`` best schedules of ``schedule_stats`` (a left-semi
     join against the top-k keys, no driver round trip)."""
     if schedules is None:
-        keys = top_k(schedule_stats(df, min_trips), "avg_epkm", "schedule_number", n, True,
-                     tie_digits).select("schedule_number")
+        keys = top_k(schedule_stats(df, min_trips), "avg_epkm", "schedule_number", n, True).select("schedule_number")
         sel = df.join(keys, "schedule_number", "left_semi")
     else:
         sel = df.where(F.col("schedule_number").isin(list(schedules)))
@@ -222,10 +227,10 @@ def top_routes_by_passengers(df: DataFrame, n: int = 10, passengers: str = "tota
     return top_k(route_totals(df, passengers), passengers, "route_no", n, largest)
 
 
-def top_routes_by_epkm(df: DataFrame, n: int = 10, tie_digits: int | None = None) -> DataFrame:
+def top_routes_by_epkm(df: DataFrame, n: int = 10) -> DataFrame:
     """Routes with the highest mean EPKM."""
     g = _g(df, "route_no").groupBy("route_no").agg(F.avg("Epkm").alias("Epkm"))
-    return top_k(g, "Epkm", "route_no", n, tie_digits=tie_digits)
+    return top_k(g, "Epkm", "route_no", n)
 
 
 def route_scatter(df: DataFrame) -> DataFrame:
@@ -241,14 +246,14 @@ def route_scatter(df: DataFrame) -> DataFrame:
              .withColumn("overall_avg_epkm", overall.getField("e")))
 
 
-def top5_route_stats(df: DataFrame, n: int = 5, tie_digits: int | None = None) -> DataFrame:
+def top5_route_stats(df: DataFrame, n: int = 5) -> DataFrame:
     """The top routes by total passengers and by mean EPKM, as
     (ranking, route_no, value) rows."""
     stats = route_scatter(df)
     by_px = top_k(stats, "total_passengers", "route_no", n).select(
         F.lit("total_passengers").alias("ranking"), "route_no",
         F.col("total_passengers").cast("double").alias("value"))
-    by_epkm = top_k(stats, "epkm", "route_no", n, tie_digits=tie_digits).select(
+    by_epkm = top_k(stats, "epkm", "route_no", n).select(
         F.lit("epkm").alias("ranking"), "route_no", F.col("epkm").alias("value"))
     return by_px.unionByName(by_epkm)
 
@@ -256,17 +261,16 @@ def top5_route_stats(df: DataFrame, n: int = 5, tie_digits: int | None = None) -
 def route_epkm_stats(df: DataFrame) -> DataFrame:
     """A41 base: per route mean and total EPKM, passengers, distance."""
     return (_g(df, "route_no").groupBy("route_no")
-            .agg(F.avg("Epkm").alias("avg_epkm"), F.sum("Epkm").alias("total_epkm"),
+            .agg(F.avg("Epkm").alias("avg_epkm"), null_safe_sum("Epkm").alias("total_epkm"),
                  null_safe_sum("total_count").cast("long").alias("total_passengers"),
                  null_safe_sum("travel_distance").cast("double").alias("total_distance")))
 
 
-def topn_routes(df: DataFrame, n: int = 10, metric: str = "avg_epkm",
-                tie_digits: int | None = None) -> DataFrame:
+def topn_routes(df: DataFrame, n: int = 10, metric: str = "avg_epkm") -> DataFrame:
     """The ``n`` routes with the largest ``metric`` (avg_epkm or total_epkm)."""
     if metric not in ("avg_epkm", "total_epkm"):
         raise ValueError("metric must be avg_epkm or total_epkm")
-    return top_k(route_epkm_stats(df), metric, "route_no", n, tie_digits=tie_digits)
+    return top_k(route_epkm_stats(df), metric, "route_no", n)
 
 
 # ------------------------------------------------------------ trends
@@ -315,12 +319,12 @@ def month_comparison(df: DataFrame) -> DataFrame:
               null_safe_sum("total_amount").cast("double").alias("Revenue"),
               null_safe_sum("travel_distance").cast("double").alias("Distance"),
               F.avg("Epkm").alias("EPKM")))
-    return g.withColumn("month_no", month_number_of_name(F.col("month")).cast("long"))
+    return g.withColumn("month_no", month_number_of_name(F.col("month")).cast("long")).orderBy("month_no")
 
 
-def month_over_month(df: DataFrame, base_zero: str = "null") -> DataFrame:
+def month_over_month(df: DataFrame) -> DataFrame:
     """W1 over A44 (at most 12 rows): month-on-month % change of the four
-    measures."""
+    measures, in calendar order; a change from 0 is +/-inf (0 to 0: NULL)."""
     base = month_comparison(df)
     w = Window.orderBy("month_no")
     running = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -332,9 +336,7 @@ def month_over_month(df: DataFrame, base_zero: str = "null") -> DataFrame:
                     ("Distance", "Distance_MoM"), ("EPKM", "EPKM_MoM")):
         cur, prev = F.col(f"_{c}_f"), F.lag(F.col(f"_{c}_f")).over(w)
         ratio = (safe_div(cur, prev) - F.lit(1.0)) * F.lit(100.0)
-        if base_zero == "inf":
-            inf = (F.when(cur > prev, F.lit(float("inf"))).when(cur < prev, F.lit(float("-inf")))
-                   .otherwise(F.lit(float("nan"))))
-            ratio = F.when(prev == 0, inf).otherwise(ratio)
+        inf = F.when(cur > 0, F.lit(float("inf"))).when(cur < 0, F.lit(float("-inf")))
+        ratio = F.when(prev == 0, inf).otherwise(ratio)
         out = out.withColumn(name, ratio)
-    return out.drop(*[f"_{c}_f" for c in ("Passengers", "Revenue", "Distance", "EPKM")])
+    return out.drop(*[f"_{c}_f" for c in ("Passengers", "Revenue", "Distance", "EPKM")]).orderBy("month_no")

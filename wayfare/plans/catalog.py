@@ -4,8 +4,7 @@ Each entry pairs a function ``Inputs -> DataFrame`` with DuckDB SQL over the
 same parquet tables.  For comparison, every double column is presented at
 4 decimals (capped at 11 significant digits, after a snap to 12 digits that
 absorbs summation-order noise), with the same IEEE arithmetic
-on both sides (``functions.numeric.present_double`` in Spark,
-``present_double_sql`` in DuckDB); the library operators themselves return
+on both sides (``present`` in Spark, ``present_double_sql`` in DuckDB); the library operators themselves return
 full precision.
 """
 
@@ -14,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +25,7 @@ SNAP = 12
 
 
 def round_significant_sql(e: str, significant: int, decimals: int | None = None) -> str:
-    """DuckDB text of ``functions.numeric.round_significant`` over expression ``e``."""
+    """DuckDB text of one rounding stage (``_round_sig_stage``) over expression ``e``."""
     a = f"abs({e})"
     k = f"({significant - 1}.0 - floor(log10({a})))"
     if decimals is not None:
@@ -39,7 +38,7 @@ def round_significant_sql(e: str, significant: int, decimals: int | None = None)
 
 
 def present_double_sql(c: str) -> str:
-    """DuckDB text of ``functions.numeric.present_double`` for column ``c``."""
+    """DuckDB text of ``present`` for column ``c``."""
     snapped = round_significant_sql(f'"{c}"', SNAP)
     return round_significant_sql(snapped, SIGNIFICANT, PRESENT_DIGITS)
 
@@ -68,9 +67,10 @@ def query(name: str, sql: str | None, doubles=()):
 
 def _round_sig_stage(df: DataFrame, cols: list[str], significant: int,
                      decimals: int | None) -> DataFrame:
-    """One rounding stage of ``functions.numeric.round_significant`` over
-    several columns, written as three small projections (digit position,
-    powers of ten, rounded value) so that no subexpression is repeated."""
+    """Round half away from zero to ``significant`` digits, and to at most
+    ``decimals`` places when given, with exact powers of ten as the only
+    factors; three small projections (digit position, powers of ten, rounded
+    value), so that no subexpression is repeated."""
     keep = [c for c in df.columns]
     k = {}
     for c in cols:
@@ -98,8 +98,7 @@ def _round_sig_stage(df: DataFrame, cols: list[str], significant: int,
 
 def present(df: DataFrame) -> DataFrame:
     """Present every double column: snap to ``SNAP`` significant digits, then
-    round to ``PRESENT_DIGITS`` decimals capped at ``SIGNIFICANT`` digits
-    (same arithmetic as ``functions.numeric.present_double``)."""
+    round to ``PRESENT_DIGITS`` decimals capped at ``SIGNIFICANT`` digits."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     if not cols:
         return df
@@ -116,11 +115,6 @@ def present_sql(spec: QuerySpec) -> str | None:
     return f"SELECT * REPLACE ({repl}) FROM (\n{spec.sql}\n) AS q"
 
 
-def run(spark: SparkSession, sf_dir: str, name: str, inputs: Inputs | None = None) -> DataFrame:
-    spec = REGISTRY[name]
-    return present(spec.build(inputs or Inputs(spark, sf_dir)))
-
-
 def _load_all() -> None:
     # importing the modules registers their queries
     from . import ticket_queries, trip_queries  # noqa: F401

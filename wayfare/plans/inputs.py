@@ -12,6 +12,7 @@ lost executor costs nothing, and ticket date-range filters prune months.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -42,9 +43,9 @@ class Inputs:
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         if self.materialize == "table":
             part, ts = PARTITIONS[name]
-            path = scratch_path(self.spark, "tables", name)
+            path = scratch_path(self.spark, "tables", uuid.uuid4().hex, name)
             (df.withColumn(part, F.date_format(ts, "yyyy-MM"))
-               .write.mode("overwrite").partitionBy(part).parquet(path))
+               .write.partitionBy(part).parquet(path))
             return self.spark.read.parquet(path)
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
 
@@ -81,13 +82,15 @@ class Inputs:
 
         For a reused (persisted / materialised) table it is computed once, as
         the dashboard does for its date widget, and becomes two literal
-        dates; otherwise it stays a lazy scalar subquery of each plan.
+        dates; otherwise it stays a lazy scalar subquery of each plan, over
+        the raw tickets' date and time columns.
         """
         if self.persist or self.materialize:
             b = self.enriched.agg(F.to_date(F.min("ticket_datetime")).alias("d0"),
                                   F.to_date(F.max("ticket_datetime")).alias("d1")).first()
             return (b.d0, b.d1)
-        return None
+        # the lookups keep every ticket, so the bounds need the raw rows only
+        return filters.default_date_range(enrich.parse_ticket_datetime(self.tickets))
 
     @cached_property
     def filtered(self) -> DataFrame:

@@ -2,10 +2,8 @@
 non-trivial results on the driver's data; see FIXTURES.md)."""
 
 ROUTE = "7"
-GAP_SCHEDULE = "3"
 SCORE_BELOW = 2000.0
 DENSITY_ABOVE = 2.0
 MIN_TRIPS = 5
 Z_THRESHOLD = 3.0
 TOP_N = 10
-RANK_TIE_DIGITS = 6

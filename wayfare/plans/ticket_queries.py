@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from ..operators import domains, enrich, filters
 from ..operators import tickets as T
+from ..operators.joins import dedupe_last
 from ..operators.ranking import top_k
 from ..session import scratch_path
-from ..sources import export_csv_with_count, read_tickets, union_batches
+from .. import schema as S
+from ..sources import export_csv_with_count, read_dimension, read_tickets, union_batches
 from ..sources.sinks import export_csv
 from .catalog import query
-from .params import DENSITY_ABOVE, RANK_TIE_DIGITS, ROUTE, SCORE_BELOW
+from .params import DENSITY_ABOVE, ROUTE, SCORE_BELOW
 from .sql_fixtures import with_tickets
 
-TD = RANK_TIE_DIGITS
 KEY_COLS = ["trip_no", "route_no", "schedule_no", "vehicle_no", "ticket_datetime",
             "px_count", "px_total_amount", "travelled_KM", "service_type", "ticket_type"]
 KEY_SQL = ", ".join(KEY_COLS)
@@ -71,6 +72,16 @@ def q_export_filtered(inp):
     return back.withColumn("exported_rows", F.lit(n).cast("long"))
 
 
+@query("scan_dimension", with_tickets(
+    "SELECT schedule_no, route_id, kms FROM ff_last"), doubles=["kms"])
+def q_scan_dimension(inp):
+    """S3: the route-distance table as several CSV files in row order, scanned
+    with the declared schema; of duplicate keys the last row in file order wins."""
+    dim = inp.form_four.orderBy("ord").select("schedule_no", "route_id", "kms")
+    path = export_csv(dim, scratch_path(inp.spark, "dimension", uuid.uuid4().hex), "form_four", dated=False)
+    return dedupe_last(read_dimension(inp.spark, path, S.FORM_FOUR), ["schedule_no", "route_id"], ["kms"])
+
+
 # ------------------------------------------------------------------ enrichment
 @query("lookup_ticket_type", with_tickets(
     "SELECT trip_no, route_no, schedule_no, ticket_type_short_code, ticket_type FROM enriched"))
@@ -311,11 +322,11 @@ def q_daily_revenue_filled(inp):
 
 
 @query("peak_days", with_tickets(_DAILY + f"""
-SELECT day, revenue FROM daily ORDER BY round(revenue, {TD}) DESC NULLS LAST, day LIMIT 3"""),
+SELECT day, revenue FROM daily ORDER BY revenue DESC NULLS LAST, day LIMIT 3"""),
     doubles=["revenue"])
 def q_peak_days(inp):
     """A4: three highest-revenue days."""
-    return top_k(T.daily_revenue_filled(inp.filtered), "revenue", "day", 3, tie_digits=TD)
+    return top_k(T.daily_revenue_filled(inp.filtered), "revenue", "day", 3)
 
 
 _SCHED = f"""
@@ -323,7 +334,9 @@ _SCHED = f"""
   SELECT schedule_no, coalesce(sum(px_total_amount), 0) AS revenue, avg(travelled_KM) AS mean_km,
          count(DISTINCT trip_no) AS trips
   FROM filtered WHERE route_no = '{ROUTE}' AND schedule_no IS NOT NULL GROUP BY schedule_no),
-eff AS (SELECT *, revenue / NULLIF(mean_km, 0) AS epkm FROM sched)"""
+eff AS (SELECT *, CASE WHEN mean_km <> 0 THEN revenue / mean_km WHEN mean_km IS NULL THEN NULL
+                      WHEN revenue > 0 THEN CAST('inf' AS DOUBLE) WHEN revenue < 0 THEN CAST('-inf' AS DOUBLE) END AS epkm
+        FROM sched)"""
 
 
 @query("schedule_efficiency", with_tickets(_SCHED + "\nSELECT * FROM eff"),
@@ -334,11 +347,11 @@ def q_schedule_efficiency(inp):
 
 
 @query("top3_schedules", with_tickets(_SCHED + f"""
-SELECT * FROM eff ORDER BY round(epkm, {TD}) DESC NULLS LAST, schedule_no LIMIT 3"""),
+SELECT * FROM eff ORDER BY epkm DESC NULLS LAST, schedule_no LIMIT 3"""),
     doubles=["revenue", "mean_km", "epkm"])
 def q_top3_schedules(inp):
     """The three schedules of highest EPKM-E on one route."""
-    return T.top_schedules(_route_df(inp), 3, tie_digits=TD)
+    return T.top_schedules(_route_df(inp), 3)
 
 
 _TRIPS = f"""
@@ -364,11 +377,10 @@ def q_leaking_trips(inp):
 
 @query("revenue_leakage", with_tickets(_TRIPS + f"""
 SELECT * FROM ts WHERE revenue < (SELECT avg(revenue) FROM ts) * 0.7
-ORDER BY round(revenue, {TD}) ASC NULLS LAST, trip_no LIMIT 3"""), doubles=["revenue", "mean_km"])
+ORDER BY revenue ASC NULLS LAST, trip_no LIMIT 3"""), doubles=["revenue", "mean_km"])
 def q_revenue_leakage(inp):
     """The three lowest-revenue leaking trips."""
-    return top_k(T.leaking_trips(_route_df(inp)), "revenue", "trip_no", 3, largest=False,
-                 tie_digits=TD)
+    return top_k(T.leaking_trips(_route_df(inp)), "revenue", "trip_no", 3, largest=False)
 
 
 _OPT = """
@@ -459,7 +471,7 @@ def q_monthly_distance(inp):
 @query("top3_ev_routes", with_tickets(f"""
 , ev AS (SELECT route_no, coalesce(sum(travelled_KM), 0) AS ev_km FROM filtered
          WHERE service_type = 'EV INTERSTATE' AND route_no IS NOT NULL GROUP BY route_no)
-SELECT * FROM ev ORDER BY round(ev_km, {TD}) DESC NULLS LAST, route_no LIMIT 3"""), doubles=["ev_km"])
+SELECT * FROM ev ORDER BY ev_km DESC NULLS LAST, route_no LIMIT 3"""), doubles=["ev_km"])
 def q_top3_ev_routes(inp):
     """Three routes with the most EV km."""
-    return T.top_ev_routes(inp.filtered, 3, tie_digits=TD)
+    return T.top_ev_routes(inp.filtered, 3)

@@ -15,12 +15,11 @@ from ..functions import iso_week, month_number_of_name
 from ..operators import clean, domains, filters, stats
 from ..operators import trips as TR
 from ..session import scratch_path
-from ..sources import read_trips
+from ..sources import export_csv, read_trips
 from .catalog import query
-from .params import MIN_TRIPS, RANK_TIE_DIGITS, ROUTE, TOP_N, Z_THRESHOLD
+from .params import MIN_TRIPS, ROUTE, TOP_N, Z_THRESHOLD
 from .sql_fixtures import with_trips
 
-TD = RANK_TIE_DIGITS
 BASIC_COLS = ["running_date", "month", "day_of_week", "service_type", "route_no",
               "schedule_number", "trip_number", "total_amount", "travel_distance", "Epkm",
               "total_count"]
@@ -41,6 +40,25 @@ def q_scan_trips(inp):
     return read_trips(inp.spark, root, sheet="trip_revenue-5")
 
 
+@query("scan_dirty_sheet", with_trips("""
+SELECT CAST(rd AS TIMESTAMP) AS running_date, color_line AS service_type, route_no, total_amount,
+       0.0::DOUBLE AS travel_distance, CAST(0 AS BIGINT) AS trip_number, CAST(0 AS BIGINT) AS total_count,
+       round_even(coalesce(total_amount / 1e-9, 0) * 100, 0) / 100 AS Epkm
+FROM (SELECT rd, color_line, route_no, CASE WHEN length(schedule_number) = 1 THEN NULL ELSE total_amount END AS total_amount
+      FROM trips_dated WHERE rd IS NOT NULL) WHERE total_amount IS NOT NULL"""),
+    doubles=["total_amount", "travel_distance", "Epkm"])
+def q_scan_dirty_sheet(inp):
+    """The default sheet as CSV without distance, trip-number and
+    passenger columns and with text among the amounts, read as it is and
+    cleaned: bad amounts drop, absent columns are 0."""
+    amount = F.when(F.length("schedule_number") == 1, F.lit("n/a")).otherwise(F.col("total_amount").cast("string"))
+    thin = inp.trips.select("running_date", "color_line", "route_no", "schedule_number", amount.alias("total_amount"))
+    path = export_csv(thin, scratch_path(inp.spark, "sheet", uuid.uuid4().hex), "trips", dated=False)
+    df = clean.clean_trips_extended(read_trips(inp.spark, path, fmt="csv"))
+    return df.select("running_date", "service_type", "route_no", "total_amount", F.col("travel_distance").cast("double").alias("travel_distance"),
+                     "trip_number", "total_count", "Epkm")
+
+
 # ------------------------------------------------------------------ cleaning
 @query("clean_trips_basic", with_trips(f"SELECT {BASIC_SQL} FROM trips_basic"),
        doubles=["trip_number", "total_amount", "travel_distance", "Epkm", "total_count"])
@@ -181,12 +199,13 @@ def q_trips_per_schedule_day(inp):
     return TR.trips_per_schedule_day(sel)
 
 
-@query("trips_per_schedule_day_none", with_trips("""
+@query("trips_per_schedule_day_selected", with_trips("""
 SELECT CAST(running_date AS DATE) AS running_date, schedule_number, max(trip_number) AS trip_number
-FROM trips_ext WHERE FALSE GROUP BY 1, 2"""))
-def q_trips_per_schedule_day_none(inp):
-    """an empty route selection gives an empty result."""
-    sel = filters.cascade_route_schedule(inp.trips_extended, [])
+FROM trips_ext WHERE route_no IN ('7', '13') AND schedule_number IN ('3', '17')
+GROUP BY 1, 2"""))
+def q_trips_per_schedule_day_selected(inp):
+    """Routes 7 and 13, then their schedules 3 and 17."""
+    sel = filters.cascade_route_schedule(inp.trips_extended, ["7", "13"], ["3", "17"])
     return TR.trips_per_schedule_day(sel)
 
 
@@ -269,6 +288,20 @@ def q_monthly_revenue(inp):
     return TR.monthly_revenue(inp.trips_extended)
 
 
+@query("monthly_revenue_selected", with_trips("""
+, agg AS (SELECT month, sum(total_amount) AS total_amount, CAST(sum(total_count) AS BIGINT) AS total_count
+          FROM trips_ext WHERE month IN ('March', 'May') GROUP BY month),
+months AS (SELECT DISTINCT CAST(month(running_date) AS BIGINT) AS month_no, strftime(running_date, '%B') AS month
+           FROM trips_ext)
+SELECT m.month_no, m.month, a.total_amount, a.total_count FROM months m LEFT JOIN agg a USING (month)"""),
+    doubles=["total_amount"])
+def q_monthly_revenue_selected(inp):
+    """A17 under a month selection: the months of the whole table stay, those
+    without selected rows as NULL."""
+    sel = filters.CalendarFilter(months=["March", "May"]).apply(inp.trips_extended)
+    return TR.monthly_revenue(sel, months_from=inp.trips_extended)
+
+
 @query("daily_revenue_in_month", with_trips("""
 SELECT CAST(running_date AS DATE) AS running_date, coalesce(sum(total_amount), 0) AS total_amount
 FROM trips_basic WHERE month = 'March' GROUP BY 1"""), doubles=["total_amount"])
@@ -286,6 +319,14 @@ def q_revenue_by_month_dow(inp):
     return TR.revenue_by_month_dow(inp.trips_extended, ["Saturday", "Sunday"])
 
 
+@query("revenue_by_month_dow_all", with_trips("""
+SELECT month, day_of_week, avg(total_amount) AS avg_per_trip FROM trips_ext
+WHERE month IS NOT NULL AND day_of_week IS NOT NULL GROUP BY 1, 2"""), doubles=["avg_per_trip"])
+def q_revenue_by_month_dow_all(inp):
+    """Mean revenue per record by (month, day), all seven days."""
+    return TR.revenue_by_month_dow(inp.trips_extended)
+
+
 _DAYS = """
 days AS (SELECT * FROM (VALUES ('Monday', 1), ('Tuesday', 2), ('Wednesday', 3), ('Thursday', 4),
                                ('Friday', 5), ('Saturday', 6), ('Sunday', 7)) t(day_of_week, day_no))"""
@@ -364,24 +405,24 @@ def q_schedule_epkm_vs_system(inp):
 
 
 @query("schedule_summary", with_trips(_SCHED + f"""
-, best AS (SELECT schedule_number, avg_epkm FROM ss ORDER BY round(avg_epkm, {TD}) DESC NULLS LAST, schedule_number LIMIT 1),
-worst AS (SELECT schedule_number, avg_epkm FROM ss ORDER BY round(avg_epkm, {TD}) ASC NULLS LAST, schedule_number LIMIT 1)
+, best AS (SELECT schedule_number, avg_epkm FROM ss ORDER BY avg_epkm DESC NULLS LAST, schedule_number LIMIT 1),
+worst AS (SELECT schedule_number, avg_epkm FROM ss ORDER BY avg_epkm ASC NULLS LAST, schedule_number LIMIT 1)
 SELECT b.schedule_number AS best_schedule, b.avg_epkm AS best_epkm, w.schedule_number AS worst_schedule,
        w.avg_epkm AS worst_epkm, (SELECT quantile_cont(avg_epkm, 0.5) FROM ss) AS median_epkm
 FROM best b, worst w"""), doubles=["best_epkm", "worst_epkm", "median_epkm"])
 def q_schedule_summary(inp):
     """Best / worst schedule and the exact median of schedule means."""
-    return TR.schedule_summary(inp.trips_extended, MIN_TRIPS, tie_digits=TD)
+    return TR.schedule_summary(inp.trips_extended, MIN_TRIPS)
 
 
 @query("schedule_epkm_trend", with_trips(_SCHED + f"""
-, top AS (SELECT schedule_number FROM ss ORDER BY round(avg_epkm, {TD}) DESC NULLS LAST, schedule_number LIMIT 3)
+, top AS (SELECT schedule_number FROM ss ORDER BY avg_epkm DESC NULLS LAST, schedule_number LIMIT 3)
 SELECT CAST(running_date AS DATE) AS running_date, schedule_number, avg(Epkm) AS avg_epkm
 FROM trips_ext WHERE schedule_number IN (SELECT schedule_number FROM top) GROUP BY 1, 2"""),
     doubles=["avg_epkm"])
 def q_schedule_epkm_trend(inp):
     """Daily mean EPKM of the three best schedules (semi-join)."""
-    return TR.schedule_epkm_trend(inp.trips_extended, None, MIN_TRIPS, 3, tie_digits=TD)
+    return TR.schedule_epkm_trend(inp.trips_extended, None, MIN_TRIPS, 3)
 
 
 @query("schedule_avg_epkm", with_trips("""
@@ -411,11 +452,11 @@ def q_top10_routes_passengers(inp):
 
 @query("top10_routes_epkm", with_trips(f"""
 , r AS (SELECT route_no, avg(Epkm) AS e FROM trips_ext WHERE route_no IS NOT NULL GROUP BY 1)
-SELECT route_no, e AS Epkm FROM r ORDER BY round(e, {TD}) DESC NULLS LAST, route_no LIMIT {TOP_N}"""),
+SELECT route_no, e AS Epkm FROM r ORDER BY e DESC NULLS LAST, route_no LIMIT {TOP_N}"""),
     doubles=["Epkm"])
 def q_top10_routes_epkm(inp):
     """Ten routes with the highest mean EPKM."""
-    return TR.top_routes_by_epkm(inp.trips_extended, TOP_N, tie_digits=TD)
+    return TR.top_routes_by_epkm(inp.trips_extended, TOP_N)
 
 
 _ROUTE_STATS = """
@@ -438,11 +479,11 @@ def q_route_scatter(inp):
 , a AS (SELECT 'total_passengers' AS ranking, route_no, CAST(total_passengers AS DOUBLE) AS value FROM rs
         ORDER BY total_passengers DESC NULLS LAST, route_no LIMIT 5),
 b AS (SELECT 'epkm' AS ranking, route_no, epkm AS value FROM rs
-      ORDER BY round(epkm, {TD}) DESC NULLS LAST, route_no LIMIT 5)
+      ORDER BY epkm DESC NULLS LAST, route_no LIMIT 5)
 SELECT * FROM a UNION ALL SELECT * FROM b"""), doubles=["value"])
 def q_top5_route_stats(inp):
     """Top five routes by total passengers and by mean EPKM."""
-    return TR.top5_route_stats(inp.trips_extended, 5, tie_digits=TD)
+    return TR.top5_route_stats(inp.trips_extended, 5)
 
 
 _TOPN = """
@@ -453,19 +494,19 @@ _TOPN = """
 
 
 @query("topn_routes_avg_epkm", with_trips(_TOPN + f"""
-SELECT * FROM re ORDER BY round(avg_epkm, {TD}) DESC NULLS LAST, route_no LIMIT {TOP_N}"""),
+SELECT * FROM re ORDER BY avg_epkm DESC NULLS LAST, route_no LIMIT {TOP_N}"""),
     doubles=["avg_epkm", "total_epkm", "total_distance"])
 def q_topn_routes_avg_epkm(inp):
     """Top-N routes by mean EPKM."""
-    return TR.topn_routes(inp.trips_extended, TOP_N, "avg_epkm", tie_digits=TD)
+    return TR.topn_routes(inp.trips_extended, TOP_N, "avg_epkm")
 
 
 @query("topn_routes_total_epkm", with_trips(_TOPN + f"""
-SELECT * FROM re ORDER BY round(total_epkm, {TD}) DESC NULLS LAST, route_no LIMIT {TOP_N}"""),
+SELECT * FROM re ORDER BY total_epkm DESC NULLS LAST, route_no LIMIT {TOP_N}"""),
     doubles=["avg_epkm", "total_epkm", "total_distance"])
 def q_topn_routes_total_epkm(inp):
     """Top-N routes by total (summed) EPKM."""
-    return TR.topn_routes(inp.trips_extended, TOP_N, "total_epkm", tie_digits=TD)
+    return TR.topn_routes(inp.trips_extended, TOP_N, "total_epkm")
 
 
 # ------------------------------------------------------------------ trends
@@ -494,10 +535,9 @@ def q_yoy_monthly_passengers(inp):
 
 def _trend_sql(label: str, step: str, spine_expr: str) -> str:
     return with_trips(f"""
-, sel AS (SELECT * FROM trips_ext WHERE route_no IN ('{ROUTE}')),
-per AS (SELECT {label} AS period, avg(Epkm) AS avg_epkm FROM sel GROUP BY 1),
+, per AS (SELECT {label} AS period, avg(Epkm) AS avg_epkm FROM trips_ext GROUP BY 1),
 sp AS (SELECT {spine_expr} AS period FROM per)
-SELECT sp.period, per.avg_epkm, (SELECT avg(Epkm) FROM sel) AS system_avg_epkm
+SELECT sp.period, per.avg_epkm, (SELECT avg(Epkm) FROM trips_ext) AS system_avg_epkm
 FROM sp LEFT JOIN per USING (period)""")
 
 
@@ -506,8 +546,8 @@ FROM sp LEFT JOIN per USING (period)""")
     "CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 DAY)) AS DATE)"),
     doubles=["avg_epkm", "system_avg_epkm"])
 def q_epkm_trend_daily(inp):
-    """Route 7's mean EPKM per day, empty days NULL."""
-    return TR.epkm_trend(filters.CalendarFilter(routes=[ROUTE]).apply(inp.trips_extended), "D")
+    """Mean EPKM per day, empty days NULL."""
+    return TR.epkm_trend(inp.trips_extended, "D")
 
 
 @query("epkm_trend_weekly", _trend_sql(
@@ -515,8 +555,8 @@ def q_epkm_trend_daily(inp):
     "CAST(unnest(generate_series(min(period), max(period), INTERVAL 7 DAY)) AS DATE)"),
     doubles=["avg_epkm", "system_avg_epkm"])
 def q_epkm_trend_weekly(inp):
-    """Route 7's mean EPKM per Tuesday..Monday week (Monday label)."""
-    return TR.epkm_trend(filters.CalendarFilter(routes=[ROUTE]).apply(inp.trips_extended), "W-MON")
+    """Mean EPKM per Tuesday..Monday week (Monday label)."""
+    return TR.epkm_trend(inp.trips_extended, "W-MON")
 
 
 @query("epkm_trend_monthly", _trend_sql(
@@ -525,8 +565,8 @@ def q_epkm_trend_weekly(inp):
     "INTERVAL 1 MONTH)) AS DATE))"),
     doubles=["avg_epkm", "system_avg_epkm"])
 def q_epkm_trend_monthly(inp):
-    """Route 7's mean EPKM per month end, empty months NULL."""
-    return TR.epkm_trend(filters.CalendarFilter(routes=[ROUTE]).apply(inp.trips_extended), "M")
+    """Mean EPKM per month end, empty months NULL."""
+    return TR.epkm_trend(inp.trips_extended, "M")
 
 
 # ------------------------------------------------------------------ month sheet
@@ -585,8 +625,9 @@ def q_month_comparison(inp):
 
 
 def _mom(c: str, out: str) -> str:
-    f = f"last_value({c} IGNORE NULLS) OVER (ORDER BY month_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"({f} / NULLIF(lag({c}_f) OVER (ORDER BY month_no), 0) - 1) * 100 AS {out}"
+    cur, prev = f"{c}_f", f"lag({c}_f) OVER o"
+    return (f"CASE WHEN {prev} <> 0 THEN ({cur} / {prev} - 1) * 100 WHEN {prev} IS NULL THEN NULL "
+            f"WHEN {cur} > 0 THEN CAST('inf' AS DOUBLE) WHEN {cur} < 0 THEN CAST('-inf' AS DOUBLE) END AS {out}")
 
 
 @query("month_over_month", with_trips(_MC + """
@@ -596,10 +637,8 @@ def _mom(c: str, out: str) -> str:
                last_value(EPKM IGNORE NULLS) OVER w AS EPKM_f
         FROM mc WINDOW w AS (ORDER BY month_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT month, Passengers, Revenue, Distance, EPKM, month_no,
-       (Passengers_f / NULLIF(lag(Passengers_f) OVER o, 0) - 1) * 100 AS Passenger_MoM,
-       (Revenue_f / NULLIF(lag(Revenue_f) OVER o, 0) - 1) * 100 AS Revenue_MoM,
-       (Distance_f / NULLIF(lag(Distance_f) OVER o, 0) - 1) * 100 AS Distance_MoM,
-       (EPKM_f / NULLIF(lag(EPKM_f) OVER o, 0) - 1) * 100 AS EPKM_MoM
+       """ + ", ".join(_mom(c, n) for c, n in (
+    ("Passengers", "Passenger_MoM"), ("Revenue", "Revenue_MoM"), ("Distance", "Distance_MoM"), ("EPKM", "EPKM_MoM"))) + """
 FROM f WINDOW o AS (ORDER BY month_no)"""),
     doubles=["Passengers", "Revenue", "Distance", "EPKM", "Passenger_MoM", "Revenue_MoM",
              "Distance_MoM", "EPKM_MoM"])

@@ -42,9 +42,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and points at shared storage.
-    Only when it is unset (local tests) a fresh folder under the system temp
-    directory is created and registered.
+    On a cluster this is set by the deployment and points at shared storage;
+    an unset folder is an error there.  Only a local master (tests) gets a fresh
+    folder under the system temp directory.
     """
     try:
         sc = spark.sparkContext
@@ -54,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if sc is None or not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="wayfare-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(path)

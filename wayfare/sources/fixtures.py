@@ -10,7 +10,7 @@ library operators, which do not rely on how the rows were made.
 Scale notes: ``tickets`` needs lineitem joined to orders (a fact-to-fact
 equi-join on the order key, shuffled on both sides unless the tables are
 bucketed on it) and to customer; supplier / nation / region are joined as
-dimensions through ``bounded_broadcast``.  ``trips`` only touches
+dimensions that Catalyst broadcasts by their size.  ``trips`` only touches
 dimensions, so it is a map-only plan over lineitem.
 """
 
@@ -19,46 +19,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fact_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fact table scan spread over at least the session's parallelism.
-
-    A single small file with one row group is read by one task whatever the
-    split size; in that case the rows are dealt round-robin to the cores.  A
-    real deployment reads many files / row groups and this is a no-op.
-    """
-    df = table(spark, sf_dir, name)
-    try:
-        par = spark.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD API
-        return df
-    return df.repartition(par) if parts < par else df
-
-
 def _two(c) -> F.Column:
     return F.lpad(c.cast("string"), 2, "0")
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket-level fact rows (schema ``wayfare.schema.TICKETS``)."""
-    li = fact_table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    supp_region = supplier.join(bounded_broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    supp_region = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     j = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-           .join(bounded_broadcast(supp_region), F.col("l_suppkey") == F.col("s_suppkey")))
+           .join(supp_region, F.col("l_suppkey") == F.col("s_suppkey")))
     minute = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 1440
     return j.select(
         F.col("c_nationkey").cast("int").alias("ticket_type_short_code"),
@@ -113,15 +95,15 @@ def form_four(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trip_rows(spark: SparkSession, sf_dir: str, bad_dates: bool) -> DataFrame:
-    li = fact_table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_shipdate")
     dims = (table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-            .join(bounded_broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")),
+            .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"),
                   F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(bounded_broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name")),
+            .join(table(spark, sf_dir, "region").select("r_regionkey", "r_name"),
                   F.col("n_regionkey") == F.col("r_regionkey")))
-    j = li.join(bounded_broadcast(dims), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = li.join(dims, F.col("l_suppkey") == F.col("s_suppkey"))
     date_text = F.date_format("l_shipdate", "yyyy-MM-dd")
     if bad_dates:
         date_text = F.when(F.col("l_orderkey") % 97 == 0, F.lit("bad")).otherwise(date_text)

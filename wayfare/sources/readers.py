@@ -51,24 +51,31 @@ def read_dimension(spark: SparkSession, path: str, schema: T.StructType,
                    fmt: str = "csv") -> DataFrame:
     """Small lookup table plus an ``ord`` column that follows file order.
 
-    ``monotonically_increasing_id`` grows with the partition index and the
-    row position inside it, so for a file read in order it numbers rows in
-    file order; "last row wins" de-duplication orders by it.
+    ``ord`` is (file, block, row position): files by path, the blocks of a file
+    by offset, then the position in which a task reads the block, so "last row
+    wins" holds over several files however they are packed into tasks.
     """
     df = _load(spark, path, fmt, schema if fmt == "csv" else None)
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields],
-                     F.monotonically_increasing_id().alias("ord"))
+    ordinal = F.struct(F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("row"))
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], ordinal.alias("ord"))
 
 
 def read_trips(spark: SparkSession, root: str, sheet: str | None = None,
                fmt: str = "parquet", monthly: bool = False) -> DataFrame:
-    """Trip sheet scan.  A workbook sheet is stored as ``{root}/{sheet}``."""
+    """Trip sheet scan.  A workbook sheet is stored as ``{root}/{sheet}``.
+
+    Columns keep the sheet's own text or numbers (CSV: text) and an absent one
+    stays absent: coercion and defaults are the cleaning's part.  The monthly
+    sheet is typed strictly, as its dashboard does."""
     path = f"{root}/{sheet}" if sheet else root
     schema = S.TRIPS_MONTHLY if monthly else S.TRIPS
-    df = _load(spark, path, fmt, schema if fmt == "csv" else None)
-    return df.select([F.col(f.name).cast(f.dataType) if f.name in df.columns
-                      else F.lit(None).cast(f.dataType).alias(f.name)
-                      for f in schema.fields])
+    raw = _load(spark, path, fmt, None)
+    df = raw.select([F.col(f.name) for f in schema.fields if f.name in raw.columns])
+    if not monthly:
+        return df
+    return df.select([F.col(f.name).cast(f.dataType) for f in schema.fields if f.name in df.columns])
 
 
 def union_batches(batches: list[DataFrame]) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def export_csv(df: DataFrame, out_dir: str, base_name: str = "transport_data",
@@ -25,8 +26,8 @@ def export_csv(df: DataFrame, out_dir: str, base_name: str = "transport_data",
 
 
 def export_csv_with_count(df: DataFrame, out_dir: str, base_name: str = "transport_data"):
-    """Fixed-name export plus the number of rows written (read back from the
-    output, so the input plan runs once)."""
-    path = export_csv(df, out_dir, base_name, dated=False)
-    n = df.sparkSession.read.option("header", True).csv(path).count()
-    return path, n
+    """Fixed-name export plus the number of rows written, counted while they
+    are written."""
+    seen = Observation("export")
+    path = export_csv(df.observe(seen, F.count(F.lit(1)).alias("rows")), out_dir, base_name, dated=False)
+    return path, seen.get["rows"]

@@ -10,6 +10,8 @@ processes what has landed and stops, which is how a scheduled refresh runs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,6 +37,6 @@ def start_ticket_ingest(spark: SparkSession, landing_dir: str, ticket_types: Dat
     enriched = enriched.withColumn("ticket_month", F.date_format("ticket_datetime", "yyyy-MM"))
     writer = (enriched.writeStream.format("parquet").outputMode("append")
               .partitionBy("ticket_month")
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest_checkpoint")))
+              .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest", uuid.uuid5(uuid.NAMESPACE_URL, out_dir).hex)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start(out_dir)
