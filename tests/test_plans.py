@@ -2,6 +2,8 @@
 products or nested-loop joins, no Python evaluation, no single-buffer exact
 percentile, and filters on raw columns reach the parquet scan."""
 
+import re
+
 import pytest
 
 from conftest import SF_SMALL
@@ -40,3 +42,39 @@ def test_route_distance_filter_pushed_to_scan(spark, capsys):
 def test_topk_is_take_ordered(shared):
     plan = _plan(all_queries()["top5_routes_passengers"].build(shared))
     assert "TakeOrderedAndProject" in plan
+
+
+def _final(plan):
+    """Lines of the final adaptive plans, without the plans they replaced."""
+    out, skip = [], None
+    for line in plan.splitlines():
+        m = re.search(r"[A-Za-z=*]", line)
+        at = m.start() if m else 0
+        if skip is not None:
+            if at > skip or (at == skip and "== Final Plan" not in line):
+                continue
+            skip = None
+        if "== Initial Plan ==" in line:
+            skip = at
+            continue
+        out.append(line)
+    return out
+
+
+@pytest.mark.parametrize("name,reads", [
+    ("kpi_summary", 3),             # facts, form_four, date bounds
+    ("route_efficiency", 4),        # ... and the largest km
+    ("daily_revenue_filled", 2),    # facts, date bounds
+    ("epkm_trend_daily", 1),
+    ("monthly_passengers", 1),
+])
+def test_registered_plans_read_the_facts_rarely(spark, name, reads):
+    import __spark_entry__ as E
+    tracker, group = spark.sparkContext.statusTracker(), f"build-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    df = E.queries()[name](spark, SF_SMALL)
+    assert list(tracker.getJobIdsForGroup(group)) == [], "building the plan runs no job"
+    df.collect()
+    lines = _final(df._jdf.queryExecution().executedPlan().toString())
+    assert sum("FileScan" in x and "[l_" in x for x in lines) == reads
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
