@@ -115,7 +115,10 @@ def test_sketch_distance_never_exceeds_difference():
         s = J.sketches(np.array([0, len(a), len(a) + len(b)]), np.concatenate((a, b)))
         u = np.concatenate((s & 15, s >> 4), axis=1)
         d = (u[0] - u[1]) & 15
-        assert np.minimum(d, 16 - d).sum() <= len(np.setxor1d(a, b))
+        far = len(np.setxor1d(a, b))
+        assert np.minimum(d, 16 - d).sum() <= far
+        f = J.fine_sketches(np.array([0, len(a), len(a) + len(b)]), np.concatenate((a, b)))
+        assert J.fine_distance(*f) == J.fine_distance(*f[::-1]) <= far
 
 
 def test_chunks_do_not_change_sets():

@@ -19,7 +19,8 @@ sets that would meet in a segment without elements.
 *Verification.*  Equal sets are one class (128-bit fingerprint) before pairs
 are made.  Entries that two classes share are looked at with a sketch of each
 set (64 counters modulo 16, whose distance never exceeds the sets' difference),
-so a pair that cannot link is dropped in its bucket.  A first round verifies
+so a pair that cannot link is dropped in its bucket; pairs that are left are looked at
+with a finer sketch (counters in proportion to the size).  A first round verifies
 one partner per set, its smallest candidate, against the exact sets; a second
 verifies every remaining pair whose ends are not connected yet, so no link between components
 is lost and no group's pairs are listed in full.
@@ -47,6 +48,7 @@ WIDTH = 4
 PERCENT = 85
 BUCKET_BYTES = 24 << 20
 FILTER_BITS = 26
+PART_ROWS = 150_000
 PAIR_COST = 0.05          # cost of testing a pair in a bucket, in entries
 U64 = np.uint64
 
@@ -88,6 +90,33 @@ def sketches(off: np.ndarray, val: np.ndarray) -> np.ndarray:
     return (counts[:, :32] | (counts[:, 32:] << 4)).astype(np.uint8)
 
 
+def fine_sketches(off: np.ndarray, val: np.ndarray) -> list[bytes]:
+    """Counters modulo 4 of each set, four to a byte: the least power of two of
+    counters that is not below the set's size, so hardly two elements meet."""
+    size = np.maximum(np.diff(off), 4)
+    bins = 1 << np.ceil(np.log2(size)).astype(np.int64)
+    start = np.concatenate(([0], np.cumsum(bins)))
+    row = np.repeat(np.arange(len(bins)), np.diff(off))
+    slot = start[row] + (mix64(val ^ U64(0x2127599BF4325C37)) & (bins[row] - 1).astype(U64)).astype(np.int64)
+    c = (np.bincount(slot, minlength=int(start[-1])) & 3).astype(np.uint8).reshape(-1, 4)
+    packed = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
+    return [packed[a // 4:b // 4].tobytes() for a, b in zip(start[:-1], start[1:])]
+
+
+_UNPACK = np.stack([np.arange(256, dtype=np.uint8) >> k & 3 for k in (0, 2, 4, 6)], axis=1)
+
+
+def fine_distance(a: bytes, b: bytes) -> int:
+    """Distance of two fine sketches, never above the sets' difference; the
+    longer is folded to the length of the shorter."""
+    x, y = (_UNPACK[np.frombuffer(v, np.uint8)].ravel() for v in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    y = y.reshape(-1, len(x)).sum(axis=0, dtype=np.uint8)
+    d = (x - y) & 3
+    return int(np.minimum(d, 4 - d).sum(dtype=np.int64))
+
+
 # ---------------------------------------------------------------- bands and schemes
 
 def band_borders(most: int, percent: int) -> list[int]:
@@ -166,13 +195,14 @@ class Schemes:
             edge = np.searchsorted(cell[order], np.arange(len(own) * m + 1))
             total = cum[edge[1:]] - cum[edge[:-1]]
             salt = mix64(np.arange(m, dtype=U64) + U64(int(i + 1) << 32))
-            keys.append(mix64(total ^ np.tile(salt, len(own))))
+            tag, body = U64(i & 0xFF), ~U64(0xFF)          # the low byte names the scheme
+            keys.append(mix64(total ^ np.tile(salt, len(own))) & body | tag)
             rows.append(np.repeat(own, m))
             if x:
                 c = cell[order]
                 near = (c % m) < x
                 c = c[near]
-                keys.append(mix64((total[c] - e[near]) ^ salt[c % m]))
+                keys.append(mix64((total[c] - e[near]) ^ salt[c % m]) & body | tag)
                 rows.append(own[c // m])
         if not keys:
             return np.zeros(0, U64), np.zeros(0, np.int64)
@@ -197,8 +227,9 @@ def _describe(width: int):
                     [batch.column(0).slice(at, n), pa.array(size, pa.int64()),
                      pa.array(run_hash(val, off[:-1], off[1:]).view(np.int64)),
                      pa.array((cum[off[1:]] - cum[off[:-1]]).view(np.int64)),
-                     pa.array([r.tobytes() for r in sk], pa.binary())],
-                    ["id", "n", "f1", "f2", "sketch"])
+                     pa.array([r.tobytes() for r in sk], pa.binary()),
+                     pa.array(fine_sketches(off, val), pa.binary())],
+                    ["id", "n", "f1", "f2", "sketch", "fine"])
     return run
 
 
@@ -316,6 +347,17 @@ def _pairs(percent: int, every: bool):
     return run
 
 
+def _near(percent: int):
+    def run(batches):
+        for batch in batches:
+            a, b, n, m, s, t = batch.columns
+            total = _ids(n) + _ids(m)
+            ok = [fine_distance(x.as_py(), y.as_py()) * (100 + percent) <= (100 - percent) * k
+                  for x, y, k in zip(s, t, total.tolist())]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    return run
+
+
 def _filter_slot(ids: np.ndarray) -> np.ndarray:
     return (mix64(ids.view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -383,7 +425,7 @@ def jaccard_components(df: DataFrame, ident: str, text: str, width: int = WIDTH,
     each keeps its own set and all links count for the id."""
     rows = df.select(col(ident).cast("long").alias("id"), F.coalesce(col(text), F.lit("")).alias("text"))
     docs = rows.where(F.col("id").isNotNull())
-    facts = written(rows.mapInArrow(_describe(width), "id long, n long, f1 long, f2 long, sketch binary"), "sets")
+    facts = written(rows.mapInArrow(_describe(width), "id long, n long, f1 long, f2 long, sketch binary, fine binary"), "sets")
     known = facts.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = known.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     member = written(known.join(classes, ["n", "f1", "f2"]).select("id", "rep", "n", "sketch"), "classes")
@@ -397,11 +439,24 @@ def jaccard_components(df: DataFrame, ident: str, text: str, width: int = WIDTH,
     shared = (docs.mapInArrow(_index(width, schemes, buckets), "part int, data binary")
               .groupBy("part").applyInArrow(_shared, "key long, id long"))
     reps = member.where(F.col("id") == F.col("rep")).select("id", "n", "sketch").dropDuplicates(["id", "n", "sketch"])
-    part = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
-    index = written(shared.join(reps, "id").select(part.alias("part"), "key", "id", "n", "sketch"), "index")
+    fine = (facts.join(member.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
+            .select("id", "n", "fine").dropDuplicates(["id", "n", "fine"]))
+    index = written(shared.join(reps, "id").select("key", "id", "n", "sketch"), "index")
+    # a scheme's buckets are dealt over as few tasks as its size asks for, so that a pair, whose
+    # shared keys are all of one or two schemes, is found by few tasks (256 schemes at most)
+    scheme = F.col("key").bitwiseAND(F.lit(0xFF))
+    load = index.groupBy(scheme.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()
+    tasks = F.lit(1)
+    for r in load:
+        tasks = F.when(scheme == r["s"], F.lit(-(-r["k"] // PART_ROWS))).otherwise(tasks) if r["k"] > PART_ROWS else tasks
+    part = F.xxhash64(scheme, F.pmod(F.xxhash64("key"), tasks))
+    index = index.withColumn("part", part)
 
     def round_(index: DataFrame, every: bool) -> DataFrame:
-        pairs = index.groupBy("part").applyInArrow(_pairs(percent, every), "a long, b long")
+        pairs = index.groupBy("part").applyInArrow(_pairs(percent, every), "a long, b long").distinct()
+        pairs = (pairs.join(fine.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("s")), "a")
+                 .join(fine.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("t")), "b")
+                 .select("a", "b", "na", "nb", "s", "t").mapInArrow(_near(percent), "a long, b long"))
         # at first, one partner per set: the smallest candidate
         pairs = pairs.distinct() if every else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         return written(_links(docs, written(pairs, "pairs"), width, percent), "links")
