@@ -20,7 +20,7 @@ leave a page without text, the names alone decide for it.
 
 Counting is grouped with partial aggregation, so a host with a third of all
 pages is no single task; a page meets its host's list of removed branches in a
-join that adaptive execution can split.
+broadcast join if the lists' measured size allows it, else in a salted join.
 
 NULL html gives an empty text; a NULL url belongs to the host without name.
 """
@@ -36,7 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import lookup
 from .names import col, free_name
+from .store import written
 from .urlfilter import host_of
 
 PRESENTATION = 0.1
@@ -202,6 +204,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     node = node.where(F.col("m").isNotNull()).select(
         "host", "path", "m", F.when(F.col("m") > 1, 1 - F.col("clogc") / (F.col("m") * log_m)).otherwise(1.0).alias("shape"),
         F.when(F.col("m") > 1, F.col("logs") / log_m).otherwise(0.0).alias("entropy"), "features")
+    node = written(node, "nodes")
     # a node's content is its own and that of the nodes below
     steps = F.split(F.expr("substring(path, 2)"), "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))
@@ -222,7 +225,9 @@ def extract_text(df: DataFrame, url: str, html: str, text: str = "text", keep: l
                       F.coalesce(col(html), F.lit("")).alias("html"))
     low = (style_tree(pages).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
            .groupBy("host").agg(F.collect_set("path").alias("low")))
-    told = pages.join(low, "host", "left").select(
+    low = written(low, "low")
+    size = F.octet_length("host") + F.octet_length(F.array_join("low", ",")) + 16
+    told = lookup(pages, low, ["host"], "html", size).select(
         *[F.col("_row").getField(c).alias(c) for c in kept], F.col("html").alias(free_name(df, "_html")),
         F.col("low").alias(free_name(df, "_low")))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.StringType())])

@@ -19,8 +19,8 @@ all hosts': a branch with ``MIN_LABELS`` labels or more whose purity reaches
 ``PURITY`` is rejected.
 
 Everything is DataFrame operations on aggregates by (host, template); pages
-meet their host's small tables (bounded by the literal share) in joins that
-adaptive execution can split for a hot host.
+meet their host's small tables (bounded by the literal share) in salted joins,
+so a hot host's pages are not one task.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import salted_join
 from .names import col, free_name
 
 LITERAL_SHARE = 0.05
@@ -86,7 +87,7 @@ def templates(urls: DataFrame) -> DataFrame:
     literals = (seen.join(total, ["host", "depth"])
                 .where((F.col("n") >= F.col("total") * LITERAL_SHARE))
                 .groupBy("host").agg(F.collect_set(F.concat_ws(":", "depth", "seg")).alias("_lits")))
-    joined = typed.join(literals, "host", "left")
+    joined = salted_join(typed, literals, ["host"], "path")
     known = F.transform("_segs", lambda s, i: F.when(
         s.rlike(r"^(<|\*\*)") | F.coalesce(F.array_contains("_lits", F.concat_ws(":", i, s)), F.lit(False)), s).otherwise("*"))
     return joined.withColumn("template", F.concat(F.lit("/"), F.array_join(known, "/"))).drop("_segs", "_lits")
@@ -144,7 +145,7 @@ def judge_urls(df: DataFrame, url: str, rules: list[tuple[str, str, str]], bad:
         F.count(F.lit(1)).alias("n"), F.count("_label").alias("labelled"),
         F.coalesce(F.sum("_label"), F.lit(0)).alias("bad"))
     verdicts = branch_verdicts(counts).select("host", "template", "purity", "rejected")
-    out = placed.join(verdicts, ["host", "template"], "left")
+    out = salted_join(placed, verdicts, ["host", "template"], "path")
     verdict = F.coalesce(F.col("_said"), F.when(F.col("rejected"), "block").otherwise("allow"))
     return out.select(*[F.col("_row").getField(c).alias(c) for c in own], F.col("host").alias(names["host"]),
                       F.col("path").alias(names["path"]), F.col("rule").alias(names["rule"]),
