@@ -74,6 +74,13 @@ def _attach(data: DataFrame, ctrl: DataFrame, keys: list[str], grouped: bool) ->
     return data.withColumns({c: F.lit(v).cast(types[c]) for c, v in (row.asDict() if row else {}).items()})
 
 
+def _rejoin(ctrl: DataFrame, seen: DataFrame, keys: list[str], grouped: bool) -> DataFrame:
+    """Control rows with what a pass found (one group: literals, no join)."""
+    if grouped:
+        return ctrl.join(seen, keys, "left")
+    return _attach(seen, ctrl, keys, False)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(), also: dict[str, Column] | None = None,
                     accuracy: int = ACCURACY, exact_max: int = EXACT_MAX) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per ``by`` group.
@@ -132,7 +139,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(), a
                      F.count(F.when(in_ & (v == q) & (q > p), 1)).alias(f"_4{t}"),
                      F.percentile_approx(F.when(region, v), _GRID, accuracy).alias(f"_s{t}")]
         seen = _attach(data, ctrl.select(*keys, *state), keys, bool(by)).groupBy(*keys).agg(*aggs)
-        both = ctrl.join(seen, keys, "left")
+        both = _rejoin(ctrl, seen, keys, bool(by))
         new = {}
         for t in targets:
             b, n, x, rank = c[f"_b{t}"], c[f"_c{t}"], c[f"_x{t}"], c[f"_r{t}"] - c[f"_b{t}"]
@@ -162,7 +169,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by=(), a
     lists = [F.sort_array(F.collect_list(F.when(c[f"_x{t}"].isNull() & _inside(v, c[f"_L{t}"], c[f"_H{t}"]), v))).alias(f"_list{t}")
              for t in targets]
     listed = _attach(data, ctrl.select(*keys, *state), keys, bool(by)).groupBy(*keys).agg(*lists)
-    out = ctrl.join(listed, keys, "left")
+    out = _rejoin(ctrl, listed, keys, bool(by))
     done = [F.coalesce(c[f"_x{t}"], F.get(F.col(f"_list{t}"), (c[f"_r{t}"] - c[f"_b{t}"]).cast("int"))) for t in targets]
     result = [F.col(k) for k in by] + [F.col(f"_a{i}").alias(k) for i, k in enumerate(also)]
     for i, (name, p) in enumerate(probs.items()):
