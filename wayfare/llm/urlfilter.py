@@ -8,10 +8,10 @@ NULL url or one without ``://`` has both empty.
 fitting rule decides.
 
 *Template tree.*  Segments that look variable (numbers, long hex strings,
-dates, with or without a file ending) become typed wildcards; of the others, a
-segment stays literal where it has at least ``LITERAL_SHARE`` of its host's
-urls at that depth (so at most 1 / LITERAL_SHARE literals a depth), else it is
-``*``; what is deeper than ``MAX_DEPTH`` is one ``**``.  Sibling templates that
+dates, with or without a file ending) become typed wildcards.  Of the others,
+level by level, a child of a node stays literal where it has ``MIN_LABELS``
+labels or at least ``LITERAL_SHARE`` of the node's urls, else it is ``*``; paths
+have any depth.  Sibling templates that
 differ in one literal are merged when both structure below and label rates are
 statistically alike (chi-square over the siblings with labels).  A branch's
 purity is its share of bad labels, smoothed towards its host's and that towards
@@ -19,8 +19,9 @@ all hosts': a branch with ``MIN_LABELS`` labels or more whose purity reaches
 ``PURITY`` is rejected.
 
 Everything is DataFrame operations on aggregates by (host, template); pages
-meet their host's small tables (bounded by the literal share) in salted joins,
-so a hot host's pages are not one task.
+and nodes meet their tables in salted joins, so a hot host is not one task.  A
+level costs one written table; nodes of so few urls that every child has the
+share are finished at once.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .joins import salted_join
 from .names import col, free_name
+from .store import written
 
 LITERAL_SHARE = 0.05
-MAX_DEPTH = 8
 MIN_LABELS = 5
 PURITY = 0.8
 SMOOTHING = 2.0
@@ -75,22 +76,36 @@ def typed_segment(s):
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """``urls`` (host, path, ...) plus ``template``: the path's node in its host's tree."""
-    segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    segs = F.transform(segs, typed_segment)
-    deep = F.size(segs) > MAX_DEPTH
-    segs = F.when(deep, F.concat(F.slice(segs, 1, MAX_DEPTH), F.array(F.lit("**")))).otherwise(segs)
+    """``urls`` (host, path, _label, ...) plus ``template``: the path's node in
+    its host's tree."""
+    segs = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), typed_segment)
     typed = urls.withColumn("_segs", segs)
-    seen = (typed.select("host", F.posexplode("_segs").alias("depth", "seg"))
-            .groupBy("host", "depth", "seg").agg(F.count(F.lit(1)).alias("n")))
-    total = seen.groupBy("host", "depth").agg(F.sum("n").alias("total"))
-    literals = (seen.join(total, ["host", "depth"])
-                .where((F.col("n") >= F.col("total") * LITERAL_SHARE))
-                .groupBy("host").agg(F.collect_set(F.concat_ws(":", "depth", "seg")).alias("_lits")))
-    joined = salted_join(typed, literals, ["host"], "path")
-    known = F.transform("_segs", lambda s, i: F.when(
-        s.rlike(r"^(<|\*\*)") | F.coalesce(F.array_contains("_lits", F.concat_ws(":", i, s)), F.lit(False)), s).otherwise("*"))
-    return joined.withColumn("template", F.concat(F.lit("/"), F.array_join(known, "/"))).drop("_segs", "_lits")
+    level = typed.groupBy("host", "_segs").agg(F.count(F.lit(1)).alias("n"), F.count("_label").alias("labelled"))
+    level = written(level.withColumn("node", F.lit("")).withColumn("open", F.size("_segs") > 0), "level")
+    done, depth = [], 0
+    while True:
+        done.append(level.where(~F.col("open")).select("host", "_segs", "node"))
+        rows = level.where("open").withColumn("seg", F.col("_segs")[depth])
+        if rows.isEmpty():
+            break
+        children = rows.groupBy("host", "node", "seg").agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_l"))
+        total = children.groupBy("host", "node").agg(F.sum("_n").alias("_total")).where(F.col("_total") * LITERAL_SHARE > 1)
+        children = salted_join(children, total, ["host", "node"], "seg")
+        literal = (F.col("seg").startswith("<") | (F.col("_l") >= MIN_LABELS)
+                   | (F.col("_n") >= F.col("_total") * LITERAL_SHARE))
+        children = children.select("host", "node", "seg", F.col("_total").isNull().alias("_few"), literal.alias("_literal"))
+        rest = F.array_join(F.slice("_segs", depth + 1, F.size("_segs")), "/")
+        step = F.when(F.col("_few"), rest).when(F.col("_literal"), F.col("seg")).otherwise("*")
+        level = written(salted_join(rows, children, ["host", "node", "seg"], "_segs").select(
+            "host", "_segs", "n", "labelled", F.concat("node", F.lit("/"), step).alias("node"),
+            (~F.col("_few") & (F.size("_segs") > depth + 1)).alias("open")), "level")
+        depth += 1
+    nodes = done[0]
+    for more in done[1:]:
+        nodes = nodes.unionByName(more)
+    template = F.when(F.col("node") == "", "/").otherwise(F.col("node"))
+    nodes = nodes.select("host", "_segs", template.alias("template"))
+    return salted_join(typed, nodes, ["host", "_segs"], "path").drop("_segs")
 
 
 def branch_verdicts(counts: DataFrame) -> DataFrame:
