@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import types as T
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 from wayfare.plans.catalog import all_queries
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

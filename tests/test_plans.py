@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from wayfare.plans.catalog import all_queries
 from wayfare.plans.inputs import Inputs
 

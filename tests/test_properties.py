@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from wayfare.operators import clean, tickets as T, trips as TR
 from wayfare.plans.inputs import Inputs
 
