@@ -27,7 +27,7 @@ def bag(cols, rows):
 
 def test_registered():
     q = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert q["pipeline"] is P.run
     assert set(queries.SQL) <= set(queries.QUERIES) and set(queries.SQL) <= set(E.oracle_sql())

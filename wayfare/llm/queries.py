@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, jaccard, linededup, mixing, pii, quality, sharding, substring, urlfilter
+from . import (audit, decontam, htmltext, jaccard, linededup, mixing, periodic, pieces, pii, quality, sharding,
+               substring, urlfilter)
 
 WORDS = r"[^\x20\x09-\x0D]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +226,102 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.duplicate_lines(docs, "doc_id", "text")
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
                       F.array_join("removed", ",").alias("removed_lines"))
+
+
+AUDITED = {
+    "A": lambda t: F.size(audit.words_of(t)) < 200,
+    "B": lambda t: 100 * F.size(F.array_distinct(audit.words_of(t))) < 50 * F.size(audit.words_of(t)),
+    "C": lambda t: 100 * F.length(F.regexp_replace(t, "[^A-Z]++", "")) > 3 * F.length(t),
+    "D": lambda t: t.rlike("[#$%&*|]"),
+}
+
+SQL["op11_filter_audit"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS fails,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM w LEFT JOIN labels USING (doc_id)
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM f GROUP BY 1, 2
+), i AS (SELECT unnest(range(5)) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT array_to_string(list_transform(o, lambda x: 'ABCDE'[x + 1]), '') AS filter_order, step, o[step] AS f,
+         coalesce(list_sum(list_transform(o[1:step - 1], lambda x: (2 ** x)::INT)), 0)::INT AS before
+  FROM (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o)
+), r AS (
+  SELECT part, filter_order, step, f, sum(n * ((fails & (before | (1 << f))) = 0)::INT)::BIGINT AS kept,
+         sum(n * ((fails & before) = 0 AND (fails >> f) & 1 = 1)::INT)::BIGINT AS removed,
+         sum(n * ((fails & before) <> 0 AND (fails >> f) & 1 = 1)::INT)::BIGINT AS redundant,
+         sum(n * (fails = (1 << f))::INT)::BIGINT AS unique_fails,
+         sum(good * ((fails & before) = 0 AND (fails >> f) & 1 = 1)::INT)::BIGINT AS good_lost,
+         sum(toxic * ((fails & before) = 0 AND (fails >> f) & 1 = 1)::INT)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors, removals, redundancies and label losses of five filters in all orders, per language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents, failing = audit.failing_ids(docs, "doc_id", "text", "lang", AUDITED, copy="E")
+    return audit.audit(documents, failing, table(spark, sf_dir, "labels"))
+
+
+def with_periods(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """``docs`` with the contract's periodic tails: h is the CRC of the id; where
+    10 divides it, the words from a on repeat the p words from a."""
+    words = audit.words_of(F.col(text))
+    h = F.crc32(F.col(ident).cast("string").cast("binary"))
+    rows = docs.withColumn("_h", h).withColumn("_w", F.when(F.col("_h") % 10 == 0, words))
+    n, g = F.size("_w").cast("long"), F.expr("_h div 10")
+    rows = rows.withColumn("_a", F.when(n > 0, F.pmod(g, n)))
+    rows = rows.withColumn("_p", F.when(n > 0, 1 + F.expr("(size(_w) - _a) div (3 + _h div 10 % 8)")))
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), n - F.col("_a") - 1),
+                       lambda i: F.element_at("_w", (F.col("_a") + i % F.col("_p") + 1).cast("int")))
+    told = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a").cast("int")), tail), " ")
+    return rows.withColumn(text, F.when(F.col("_a").isNotNull(), told).otherwise(F.col(text))).drop("_h", "_w", "_a", "_p")
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, of which every tenth is given a periodic tail."""
+    docs = with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    out = periodic.find_runs(docs, "text", keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"])))
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = F.when(F.size("runs") > 0, best)
+    out = out.withColumn("_best", best)
+    start, length, period = (F.col(f"_best.{c}") for c in ("start", "length", "period"))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+                      period.alias("period"), F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+                      F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+                      F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op13_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document and the text that they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encode_pieces(docs, "text", piece_model(), decoded="decoded", keep=["doc_id"])
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
