@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import DAY_NAMES, month_number_of_name, null_safe_sum, safe_div
 from . import spine
 from .domains import available_months
-from .quantiles import exact_quantiles, keep_table
+from .quantiles import exact_quantiles
 from .ranking import sort_by, top_k
 
 
@@ -144,15 +144,35 @@ def dow_service_pivot(df: DataFrame, services: list | None = None) -> DataFrame:
              .agg(F.avg(F.col("total_count").cast("double"))))
 
 
+def dow_service_map(df: DataFrame) -> DataFrame:
+    """A31 in map form: mean passengers by weekday as one map from service to
+    mean.  One grouped pass, no column per service: nothing is known of the
+    services before, and their number is not limited."""
+    g = (_g(df, "day_of_week", "service_type").groupBy("day_of_week", "service_type")
+         .agg(F.avg(F.col("total_count").cast("double")).alias("m")))
+    return g.groupBy("day_of_week").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("service_type", "m")))).alias("avg_passengers"))
+
+
+def widen(mapped: DataFrame, services: list, column: str = "avg_passengers") -> DataFrame:
+    """The entries of a map column for the given services as columns."""
+    rest = [c for c in mapped.columns if c != column]
+    return mapped.select(*rest, *[F.try_element_at(column, F.lit(s)).alias(s) for s in services])
+
+
 # ------------------------------------------------------------ schedules
-def schedule_stats(df: DataFrame, min_trips: int = 5) -> DataFrame:
-    """Mean EPKM, record count, revenue and distance per schedule,
-    keeping schedules with at least ``min_trips`` records; EPKM descending."""
+def _schedule_table(df: DataFrame, min_trips: int) -> DataFrame:
     g = (_g(df, "schedule_number").groupBy("schedule_number")
          .agg(F.avg("Epkm").alias("avg_epkm"), F.count("trip_number").alias("total_trips"),
               null_safe_sum("total_amount").cast("double").alias("total_revenue"),
               null_safe_sum("travel_distance").cast("double").alias("total_distance")))
-    return sort_by(g.where(F.col("total_trips") >= F.lit(min_trips)), "avg_epkm", "schedule_number")
+    return g.where(F.col("total_trips") >= F.lit(min_trips))
+
+
+def schedule_stats(df: DataFrame, min_trips: int = 5) -> DataFrame:
+    """Mean EPKM, record count, revenue and distance per schedule,
+    keeping schedules with at least ``min_trips`` records; EPKM descending."""
+    return sort_by(_schedule_table(df, min_trips), "avg_epkm", "schedule_number")
 
 
 def schedule_epkm_vs_system(df: DataFrame, min_trips: int = 5) -> DataFrame:
@@ -163,22 +183,16 @@ def schedule_epkm_vs_system(df: DataFrame, min_trips: int = 5) -> DataFrame:
 
 
 def schedule_summary(df: DataFrame, min_trips: int = 5) -> DataFrame:
-    """Best and worst schedule by mean EPKM and the median of the
-    schedule means (exact).  The schedule table (a row per schedule) is written
-    once and used for all three."""
-    stats = keep_table(schedule_stats(df, min_trips), "schedule_stats")
-
-    def one(largest):
-        # a one-row top-k referenced as a scalar subquery (no join)
-        row = top_k(stats, "avg_epkm", "schedule_number", 1, largest)
-        return row.select(F.struct("schedule_number", "avg_epkm").alias("s")).select("s").scalar()
-
-    best, worst = one(True), one(False)
-    med = exact_quantiles(stats, "avg_epkm", {"median_epkm": 0.5})
-    return med.select(best.getField("schedule_number").alias("best_schedule"),
-                      best.getField("avg_epkm").alias("best_epkm"),
-                      worst.getField("schedule_number").alias("worst_schedule"),
-                      worst.getField("avg_epkm").alias("worst_epkm"), "median_epkm")
+    """Best and worst schedule by mean EPKM (ties: the smaller number) and
+    the median of the schedule means (exact): one pass over the trips, all three
+    from the slim schedule table that the quantile writes."""
+    epkm, number = F.col("avg_epkm"), F.col("schedule_number")
+    best = F.min(F.struct(epkm.isNull().alias("none"), (-epkm).alias("key"), number.alias("n"), epkm.alias("e")))
+    worst = F.min(F.struct(epkm.isNull().alias("none"), epkm.alias("key"), number.alias("n"), epkm.alias("e")))
+    out = exact_quantiles(_schedule_table(df, min_trips), "avg_epkm", {"median_epkm": 0.5},
+                          also={"best": best, "worst": worst}, carry=["schedule_number"])
+    return out.select(F.col("best.n").alias("best_schedule"), F.col("best.e").alias("best_epkm"),
+                      F.col("worst.n").alias("worst_schedule"), F.col("worst.e").alias("worst_epkm"), "median_epkm")
 
 
 def schedule_epkm_trend(df: DataFrame, schedules=None, min_trips: int = 5, n: int = 3) -> DataFrame:
