@@ -13,12 +13,13 @@ trip dashboards define differently; all are kept under their own names:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import (day_name, hms_to_hours, key_to_text, month_name, round_half_even_binary,
                          safe_div, to_double, to_long)
 from ..functions.numeric import col
+from ..sources.quality import observe_coerced
 
 EPSILON = 1e-9  # fixed value: distance offset of the epsilon EPKM variant
 
@@ -39,13 +40,32 @@ def epkm_null_guard(amount="total_amount", distance="travel_distance") -> Column
     return F.coalesce(safe_div(col(amount), F.nullif(col(distance), F.lit(0.0))), F.lit(0.0))
 
 
+def _running_date() -> Column:
+    return F.col("running_date").cast("string").try_cast("timestamp_ntz")
+
+
 def coerce_running_date(df: DataFrame) -> DataFrame:
     """Parse ``running_date`` leniently (bad text -> NULL) and drop NULLs.
 
     The result is a naive wall-clock TIMESTAMP_NTZ, so nothing depends on
     the session time zone."""
-    ts = F.col("running_date").cast("string").try_cast("timestamp_ntz")
-    return df.withColumn("running_date", ts).where(F.col("running_date").isNotNull())
+    return df.withColumn("running_date", _running_date()).where(F.col("running_date").isNotNull())
+
+
+def _observe(df: DataFrame, counts: Observation | None, numbers: list[str], required: list[str]) -> DataFrame:
+    """Raw rows with counters of D8 / D12 (``observe_coerced``): values that the
+    cleaning turns into NULL, and ``dropped_rows`` that it drops because the date
+    or a ``required`` number is missing or bad."""
+    if counts is None:
+        return df
+    numbers = [c for c in numbers if c in df.columns]
+    pairs = {"running_date": (F.col("running_date"), _running_date())}
+    pairs |= {c: (F.col(c), to_double(c)) for c in numbers}
+    dropped = _running_date().isNull()
+    for c in required:
+        if c in numbers:
+            dropped = dropped | to_double(c).isNull()
+    return observe_coerced(df, counts, pairs, dropped_rows=dropped)
 
 
 def add_calendar_names(df: DataFrame, date_col: str = "running_date") -> DataFrame:
@@ -63,14 +83,16 @@ def default_missing_columns(df: DataFrame, columns=("total_amount", "travel_dist
     return df
 
 
-def clean_trips_basic(df: DataFrame) -> DataFrame:
+def clean_trips_basic(df: DataFrame, counts: Observation | None = None) -> DataFrame:
     """Trip cleaning of the daily dashboard (EPKM variant B).
 
     Invalid dates are dropped; ``service_type`` aliases ``color_line``; the
     amount, distance and trip number are coerced to numbers; missing
     passenger counts become 0; rows whose amount, distance or trip number is
-    missing are dropped.
+    missing are dropped.  ``counts`` observes what is coerced and dropped.
     """
+    df = _observe(df, counts, ["total_amount", "travel_distance", "trip_number", "total_count"],
+                  ["total_amount", "travel_distance", "trip_number"])
     df = coerce_running_date(df)
     df = add_calendar_names(df)
     df = df.withColumn("service_type", F.col("color_line"))
@@ -82,15 +104,18 @@ def clean_trips_basic(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["total_amount", "travel_distance", "trip_number", "Epkm", "total_count"])
 
 
-def clean_trips_extended(df: DataFrame) -> DataFrame:
+def clean_trips_extended(df: DataFrame, counts: Observation | None = None) -> DataFrame:
     """Trip cleaning of the drill-down dashboard (EPKM variant C).
 
     As ``clean_trips_basic`` but: absent numeric columns default to 0;
     ``running_time`` is coerced to a number (``H:MM:SS`` text is not a number
     and becomes NULL); passenger count and trip number become whole numbers
     with missing -> 0, so rows with a bad trip number survive; only a missing
-    amount or distance drops a row.
+    amount or distance drops a row.  ``counts`` observes what is coerced and
+    dropped.
     """
+    df = _observe(df, counts, ["total_amount", "travel_distance", "trip_number", "total_count", "running_time"],
+                  ["total_amount", "travel_distance"])
     df = coerce_running_date(df)
     df = add_calendar_names(df)
     df = df.withColumn("service_type", F.col("color_line"))

@@ -1,8 +1,10 @@
 """Sources and sinks."""
 
-from .readers import (EmptyResult, SourceNotFound, read_dimension, read_tickets, read_trips,
+from .quality import observe_coerced
+from .readers import (EmptyResult, RowGuard, SourceNotFound, read_dimension, read_tickets, read_trips,
                       require_rows, union_batches)
-from .sinks import export_csv, export_csv_with_count
+from .sinks import export_csv, export_csv_with_count, export_manifest
 
-__all__ = ["EmptyResult", "SourceNotFound", "read_dimension", "read_tickets", "read_trips",
-           "require_rows", "union_batches", "export_csv", "export_csv_with_count"]
+__all__ = ["EmptyResult", "RowGuard", "SourceNotFound", "read_dimension", "read_tickets", "read_trips",
+           "require_rows", "union_batches", "observe_coerced", "export_csv", "export_csv_with_count",
+           "export_manifest"]
