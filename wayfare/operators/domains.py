@@ -1,4 +1,7 @@
-"""Filter domains (U1-U8): distinct values and bounds."""
+"""Filter domains (U1-U8): distinct values and bounds.
+
+``page_domains`` gives all lists and bounds of a page in one pass over its table;
+the single ones below are for a page that shows one widget."""
 
 from __future__ import annotations
 
@@ -54,3 +57,23 @@ def trip_bounds(df: DataFrame, top_cap: int = 20) -> DataFrame:
         F.when(mx > 0, F.floor(mx)).otherwise(F.lit(10)).cast("long").alias("max_trip_slider"),
         F.least(F.lit(top_cap), F.count_distinct("route_no")).cast("long").alias("top_n_cap"),
     )
+
+
+def page_domains(df: DataFrame, columns: list[str], date_col: str, number: str) -> DataFrame:
+    """U1-U8 in one fact read: the distinct values of every column in ``columns``
+    (NULL is a value) as rows (``domain``, ``value``), each with its ``rows``,
+    first and last date and greatest ``number``; the row with ``domain`` NULL is
+    the whole table.  ``GROUPING SETS`` of one column each: partial aggregation
+    leaves at most a row per value and task for the shuffle."""
+    day = F.to_date(date_col)
+    sets = [[c] for c in columns] + [[]]
+    g = df.select(*columns, day.alias("_d"), F.col(number).alias("_n")).groupingSets(sets, *columns).agg(
+        F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("rows"), F.min("_d").alias("first_date"),
+        F.max("_d").alias("last_date"), F.max("_n").cast("double").alias("max_number"))
+    full = (1 << len(columns)) - 1
+    of = [full & ~(1 << (len(columns) - 1 - i)) for i in range(len(columns))]
+    domain, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c, i in zip(columns, of):
+        domain = F.when(F.col("_id") == i, F.lit(c)).otherwise(domain)
+        value = F.when(F.col("_id") == i, F.col(c).cast("string")).otherwise(value)
+    return g.select(domain.alias("domain"), value.alias("value"), "rows", "first_date", "last_date", "max_number")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import safe_div, zero_to_one
-from .joins import lookup, lookup_with_fallback
+from ..scratch import keep_table
+from .joins import dedupe_last, lookup, lookup_with_fallback
 
 
 def map_ticket_type(tickets: DataFrame, ticket_types: DataFrame) -> DataFrame:
@@ -45,6 +46,15 @@ def override_distance(tickets: DataFrame, form_four: DataFrame) -> DataFrame:
                                 "travelled_KM")
 
 
+def prepare_dimensions(ticket_types: DataFrame, service_types: DataFrame,
+                       form_four: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three lookup tables de-duplicated once (last row wins) and written, so
+    that any number of batches is enriched without reading their sources again."""
+    return (keep_table(dedupe_last(ticket_types, ["ticket_type_id"], ["ticket_type_name"]), "ticket_types"),
+            keep_table(dedupe_last(service_types, ["service_type_id"], ["service_type_name"]), "service_types"),
+            keep_table(dedupe_last(form_four, ["schedule_no", "route_id"], ["kms"]), "form_four"))
+
+
 def enrich_tickets(tickets: DataFrame, ticket_types: DataFrame, service_types: DataFrame,
                    form_four: DataFrame) -> DataFrame:
     """All ticket derivations in the dashboard's order.

@@ -27,13 +27,18 @@ def dedupe_last(dim: DataFrame, keys: list[str], values: list[str], order_col: s
     return picked.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
+def _unique(dim: DataFrame, keys: list[str], value: str, order_col: str) -> DataFrame:
+    return dedupe_last(dim, keys, [value], order_col) if order_col in dim.columns else dim.select(*keys, value)
+
+
 def lookup(df: DataFrame, dim: DataFrame, left_key: str, dim_key: str, value: str,
            out: str, order_col: str = "ord") -> DataFrame:
     """Left lookup ``df.left_key -> dim.value`` as column ``out``.
 
-    Unmatched codes give NULL; duplicate codes resolve to the last dim row.
+    Unmatched codes give NULL; duplicate codes resolve to the last dim row.  A
+    dimension without ``order_col`` is taken as de-duplicated before.
     """
-    d = dedupe_last(dim, [dim_key], [value], order_col).select(
+    d = _unique(dim, [dim_key], value, order_col).select(
         F.col(dim_key).alias("_lk"), F.col(value).alias(out))
     return df.join(d, df[left_key] == d["_lk"], "left").drop("_lk")
 
@@ -43,9 +48,10 @@ def lookup_with_fallback(df: DataFrame, dim: DataFrame, keys: list[str], value:
     """Overwrite ``target`` with ``dim.value`` where the composite key matches.
 
     A matched key whose value is NULL yields NULL (the key is present); only
-    an absent key keeps the row's own value.
+    an absent key keeps the row's own value.  A dimension without ``order_col`` is
+    taken as de-duplicated before.
     """
-    d = (dedupe_last(dim, keys, [value], order_col)
+    d = (_unique(dim, keys, value, order_col)
          .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                  F.col(value).alias("_val"), F.lit(True).alias("_matched")))
     cond = [df[k] == d[f"_k{i}"] for i, k in enumerate(keys)]

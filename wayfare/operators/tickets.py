@@ -9,11 +9,12 @@ is computed once and referenced as a constant, with no join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import month_start, null_safe_sum, safe_div
 from . import spine
+from .bitmaps import count_ids
 from .ranking import sort_by, top_k
 
 EV = "EV INTERSTATE"  # fixed value: service name of electric buses
@@ -41,22 +42,28 @@ def kpi_route(route_df: DataFrame) -> DataFrame:
                         null_safe_sum("px_total_amount").cast("double").alias("total_revenue"))
 
 
-def kpi_fleet(fleet_df: DataFrame, all_df: DataFrame) -> DataFrame:
+def kpi_fleet(fleet_df: DataFrame, all_df: DataFrame, dense_trips: bool = True) -> DataFrame:
     """K3/K4: fleet totals.
 
     ``sum_trip_no`` reproduces the dashboard's "Total Trips" (a sum of trip
     ids); ``distinct_trips`` is the count of trips.  Active vehicles count a
     NULL vehicle as one more value; the fleet size is the distinct non-NULL
     vehicles of the whole table; idle = fleet size - active.
+
+    Trips and sums come from one pass by trip-number bitmaps (``dense_trips=False``:
+    by a grouping, for trip numbers far apart), vehicles from one grouping of both
+    frames' vehicle column: no Expand over the facts.
     """
-    total = all_df.agg(F.count_distinct("vehicle_no").alias("t")).select("t").scalar()
-    active = (F.count_distinct("vehicle_no")
-              + F.max(F.col("vehicle_no").isNull().cast("long")))
-    k = fleet_df.agg(null_safe_sum("travelled_KM").cast("double").alias("total_distance"),
-                     null_safe_sum("trip_no").cast("long").alias("sum_trip_no"),
-                     F.count_distinct("trip_no").alias("distinct_trips"),
-                     F.coalesce(active, F.lit(0)).cast("long").alias("active_vehicles"))
-    return (k.withColumn("total_vehicles", total.cast("long"))
+    k = count_ids(fleet_df, "trip_no", {"km": F.col("travelled_KM"), "numbers": F.col("trip_no")}, dense_trips)
+    seen = (all_df.select("vehicle_no", F.lit(False).alias("a"), F.lit(True).alias("t"))
+            .unionByName(fleet_df.select("vehicle_no", F.lit(True).alias("a"), F.lit(False).alias("t")))
+            .groupBy("vehicle_no").agg(F.max("a").alias("active"), F.max("t").alias("total")))
+    vehicles = seen.agg(F.struct(F.count_if("active").alias("active"),
+                                 F.count_if(F.col("total") & F.col("vehicle_no").isNotNull()).alias("total")).alias("v"))
+    v = vehicles.select("v").scalar()
+    return (k.select(F.col("km").cast("double").alias("total_distance"), F.col("numbers").cast("long").alias("sum_trip_no"),
+                     F.col("distinct_ids").alias("distinct_trips"), v.getField("active").alias("active_vehicles"),
+                     v.getField("total").alias("total_vehicles"))
              .withColumn("idle_vehicles", F.col("total_vehicles") - F.col("active_vehicles")))
 
 
@@ -164,42 +171,91 @@ def revenue_leakage(route_df: DataFrame, ratio: float = 0.7, n: int = 3) -> Data
 
 
 # ------------------------------------------------------------ optimisation
+def _mean_ratios(g: DataFrame) -> DataFrame:
+    return g.withColumn("efficiency_score", efficiency_score(F.col("revenue_per_km"), F.col("passengers_per_km")))
+
+
 def route_optimization_stats(df: DataFrame) -> DataFrame:
     """A9-A11 in one aggregate: passenger density, revenue efficiency and
     the efficiency score per route."""
-    g = (_grouped(df, "route_no").groupBy("route_no")
-         .agg(F.avg("passengers_per_km").alias("passengers_per_km"),
-              F.avg("revenue_per_km").alias("revenue_per_km")))
-    return g.withColumn("efficiency_score",
-                        efficiency_score(F.col("revenue_per_km"), F.col("passengers_per_km")))
+    return _mean_ratios(_grouped(df, "route_no").groupBy("route_no")
+                        .agg(F.avg("passengers_per_km").alias("passengers_per_km"),
+                             F.avg("revenue_per_km").alias("revenue_per_km")))
+
+
+RATIOS = ("passengers_per_km", "revenue_per_km")
+
+
+def _selected_by_route(df: DataFrame, min_km: int) -> DataFrame:
+    """Sums and counts of the two ratios by route (NULL: a row of its own) under
+    the default distance selection (F7: ``min_km`` to the whole part of the
+    greatest km), in one pass over the tickets.
+
+    Only tickets with a fractional km in the top whole km of all are beyond the
+    default bound.  Each (route, whole km) keeps its fractional tickets' sums
+    apart, each route those of its own top km, and the top km of all routes
+    decides whether they count: the bound is found among one row per route."""
+    km = F.col("travelled_KM")
+    rows = df.where(km.isNotNull() & (km >= min_km)).withColumn("_whole", F.floor(km).cast("long"))
+    over = km > F.col("_whole")
+    counts = [F.count(F.lit(1)).alias("n_rows"), F.count_if(over).alias("on_rows")]
+    parts = counts + [e for c in RATIOS for e in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"),
+                                         F.sum(F.when(over, F.col(c))).alias(f"os_{c}"), F.count(F.when(over, F.col(c))).alias(f"on_{c}"))]
+    by_km = rows.groupBy("route_no", "_whole").agg(*parts)
+    sums = ["n_rows", *[f"{f}_{c}" for c in RATIOS for f in "sn"]]
+    top = F.max_by(F.struct(*[f"o{c}" for c in sums]), F.col("_whole"))
+    routes = by_km.groupBy("route_no").agg(*[F.sum(c).alias(c) for c in sums], top.alias("_top"), F.max("_whole").alias("_whole"))
+    bound = F.max("_whole").over(Window.partitionBy(F.lit(0)))  # over one row per route
+    cut = F.col("_whole") == F.col("_bound")
+    return routes.withColumn("_bound", bound).select("route_no", *[
+        (F.col(c) - F.when(cut, F.coalesce(F.col(f"_top.o{c}"), F.lit(0))).otherwise(0)).alias(c)
+        for c in sums]).where(F.col("n_rows") > 0)
+
+
+def default_optimization(df: DataFrame, min_km: int = 0) -> DataFrame:
+    """K5 under the default distance selection of all routes (one pass)."""
+    k = _selected_by_route(df, min_km).agg(*[
+        F.try_divide(F.sum(f"s_{c}"), F.sum(f"n_{c}").cast("double")).alias(f"avg_{c}") for c in RATIOS])
+    return k.withColumn("efficiency_score", efficiency_score(F.col("avg_revenue_per_km"), F.col("avg_passengers_per_km")))
+
+
+def default_route_optimization(df: DataFrame, min_km: int = 0) -> DataFrame:
+    """A9-A11 under the default distance selection of all routes (one pass);
+    routes without a selected ticket have no row."""
+    g = _selected_by_route(df, min_km).where(F.col("route_no").isNotNull())
+    return _mean_ratios(g.select("route_no", *[F.try_divide(F.col(f"s_{c}"), F.col(f"n_{c}").cast("double")).alias(c) for c in RATIOS]))
+
+
+def _ranked(df: DataFrame, value: str, default_selection: bool) -> DataFrame:
+    g = default_route_optimization(df) if default_selection else route_optimization_stats(df)
+    return sort_by(g.select("route_no", value), value, "route_no")
 
 
-def route_density(df: DataFrame) -> DataFrame:
-    """Mean passengers per km by route, descending."""
-    return sort_by(route_optimization_stats(df).select("route_no", "passengers_per_km"),
-                   "passengers_per_km", "route_no")
+def route_density(df: DataFrame, default_selection: bool = False) -> DataFrame:
+    """Mean passengers per km by route, descending.  With
+    ``default_selection`` (here and below) the page's default distance selection
+    is applied first, in the same pass."""
+    return _ranked(df, "passengers_per_km", default_selection)
 
 
-def high_density_routes(df: DataFrame, above: float = 5.0) -> DataFrame:
+def high_density_routes(df: DataFrame, above: float = 5.0, default_selection: bool = False) -> DataFrame:
     """A9 alert: routes whose density exceeds ``above``."""
-    return route_density(df).where(F.col("passengers_per_km") > F.lit(above))
+    return route_density(df, default_selection).where(F.col("passengers_per_km") > F.lit(above))
 
 
-def route_revenue_efficiency(df: DataFrame) -> DataFrame:
+def route_revenue_efficiency(df: DataFrame, default_selection: bool = False) -> DataFrame:
     """A10: mean revenue per km by route, descending."""
-    return sort_by(route_optimization_stats(df).select("route_no", "revenue_per_km"),
-                   "revenue_per_km", "route_no")
+    return _ranked(df, "revenue_per_km", default_selection)
 
 
-def route_efficiency(df: DataFrame) -> DataFrame:
+def route_efficiency(df: DataFrame, default_selection: bool = False) -> DataFrame:
     """Efficiency score by route, descending."""
-    return sort_by(route_optimization_stats(df).select("route_no", "efficiency_score"),
-                   "efficiency_score", "route_no")
+    return _ranked(df, "efficiency_score", default_selection)
 
 
-def low_efficiency_routes(df: DataFrame, below: float = 0.8) -> DataFrame:
+def low_efficiency_routes(df: DataFrame, below: float = 0.8, default_selection: bool = False) -> DataFrame:
     """A11 alert: routes scoring below ``below``."""
-    return route_efficiency(df).where(F.col("efficiency_score") < F.lit(below))
+    return route_efficiency(df, default_selection).where(F.col("efficiency_score") < F.lit(below))
 
 
 # ------------------------------------------------------------ fleet

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, enrich, filters
 from ..session import scratch_path
 from ..sources import fixtures
+from ..sources.footers import footer_bounds
 
 # partition column of each materialised table and the timestamp it is cut from
 PARTITIONS = {"enriched": ("ticket_month", "ticket_datetime"),
@@ -39,11 +40,12 @@ class Inputs:
         self.sf_dir = sf_dir
         self.persist = persist
         self.materialize = materialize
+        self.paths: dict[str, str] = {}        # of the materialised tables
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         if self.materialize == "table":
             part, ts = PARTITIONS[name]
-            path = scratch_path(self.spark, "tables", uuid.uuid4().hex, name)
+            path = self.paths[name] = scratch_path(self.spark, "tables", uuid.uuid4().hex, name)
             (df.withColumn(part, F.date_format(ts, "yyyy-MM"))
                .write.partitionBy(part).parquet(path))
             return self.spark.read.parquet(path)
@@ -82,10 +84,15 @@ class Inputs:
 
         For a reused (persisted / materialised) table it is computed once, as
         the dashboard does for its date widget, and becomes two literal
-        dates; otherwise it stays a lazy scalar subquery of each plan, over
+        dates (of a materialised table from its Parquet footers, without a row);
+        otherwise it stays a lazy scalar subquery of each plan, over
         the raw tickets' date and time columns.
         """
-        if self.persist or self.materialize:
+        if self.materialize:
+            self.enriched  # noqa: B018 - written on first use
+            b = footer_bounds(self.spark, self.paths["enriched"], ["ticket_date"])
+            return (b.min_ticket_date, b.max_ticket_date)
+        if self.persist:
             b = self.enriched.agg(F.to_date(F.min("ticket_datetime")).alias("d0"),
                                   F.to_date(F.max("ticket_datetime")).alias("d1")).first()
             return (b.d0, b.d1)

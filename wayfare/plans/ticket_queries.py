@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..operators import domains, enrich, filters
+from ..operators import domains, enrich, filters, rollup
 from ..operators import tickets as T
 from ..operators.joins import dedupe_last
 from ..operators.ranking import top_k
+from ..scratch import keep_table, new_path
 from ..session import scratch_path
 from .. import schema as S
 from ..sources import export_csv_with_count, read_dimension, read_tickets, union_batches
+from ..sources.bucketed import save_bucketed
 from ..sources.sinks import export_csv
 from .catalog import query
 from .params import DENSITY_ABOVE, ROUTE, SCORE_BELOW
@@ -31,10 +34,6 @@ def _fleet_df(inp):
     return filters.filter_vehicle_dates(inp.enriched)
 
 
-def _optimization_df(inp):
-    return filters.filter_route_distance(inp.filtered, "All", 0)
-
-
 # ------------------------------------------------------------------ sources
 @query("scan_tickets", with_tickets("SELECT * FROM tickets"),
        doubles=["px_total_amount", "travelled_KM"])
@@ -48,12 +47,12 @@ def q_scan_tickets(inp):
 @query("union_batches", with_tickets(f"SELECT {KEY_SQL} FROM enriched"),
        doubles=["px_total_amount", "travelled_KM"])
 def q_union_batches(inp):
-    """Tickets enriched in two date batches, then bag-unioned."""
+    """Tickets enriched in two date batches, then bag-unioned; the lookup
+    tables are prepared once for both."""
+    dims = enrich.prepare_dimensions(inp.ticket_types, inp.service_types, inp.form_four)
     early = F.col("ticket_date") < F.lit("1998-01-01")
     batches = [inp.tickets.where(early), inp.tickets.where(~early | F.col("ticket_date").isNull())]
-    enriched = [enrich.enrich_tickets(b, inp.ticket_types, inp.service_types, inp.form_four)
-                for b in batches]
-    return union_batches(enriched).select(KEY_COLS)
+    return union_batches([enrich.enrich_tickets(b, *dims) for b in batches]).select(KEY_COLS)
 
 
 @query("export_filtered", with_tickets("""
@@ -256,7 +255,7 @@ SELECT p AS avg_passengers_per_km, r AS avg_revenue_per_km,
 def q_kpi_optimization(inp):
     """K5: mean passengers/km, mean revenue/km and efficiency score over the
     optimisation selection (all routes, km 0 .. truncated max)."""
-    return T.kpi_optimization(_optimization_df(inp))
+    return T.default_optimization(inp.filtered)
 
 
 @query("sustainability_summary", with_tickets("""
@@ -397,7 +396,7 @@ score AS (SELECT route_no, CASE WHEN passengers_per_km = 0 THEN 0.0
        doubles=["passengers_per_km"])
 def q_route_density(inp):
     """Mean passengers per km by route."""
-    return T.route_density(_optimization_df(inp))
+    return T.route_density(inp.filtered, default_selection=True)
 
 
 @query("high_density_routes", with_tickets(_OPT + f"""
@@ -405,21 +404,21 @@ SELECT route_no, passengers_per_km FROM ro WHERE passengers_per_km > {DENSITY_AB
     doubles=["passengers_per_km"])
 def q_high_density_routes(inp):
     """A9 alert: routes above the density threshold."""
-    return T.high_density_routes(_optimization_df(inp), DENSITY_ABOVE)
+    return T.high_density_routes(inp.filtered, DENSITY_ABOVE, default_selection=True)
 
 
 @query("route_revenue_efficiency", with_tickets(_OPT + "\nSELECT route_no, revenue_per_km FROM ro"),
        doubles=["revenue_per_km"])
 def q_route_revenue_efficiency(inp):
     """A10: mean revenue per km by route."""
-    return T.route_revenue_efficiency(_optimization_df(inp))
+    return T.route_revenue_efficiency(inp.filtered, default_selection=True)
 
 
 @query("route_efficiency", with_tickets(_OPT + "\nSELECT route_no, efficiency_score FROM score"),
        doubles=["efficiency_score"])
 def q_route_efficiency(inp):
     """Efficiency score (mean rev/km over mean px/km) by route."""
-    return T.route_efficiency(_optimization_df(inp))
+    return T.route_efficiency(inp.filtered, default_selection=True)
 
 
 @query("low_efficiency_routes", with_tickets(_OPT + f"""
@@ -427,7 +426,7 @@ SELECT route_no, efficiency_score FROM score WHERE efficiency_score < {SCORE_BEL
     doubles=["efficiency_score"])
 def q_low_efficiency_routes(inp):
     """A11 alert: routes scoring below the threshold."""
-    return T.low_efficiency_routes(_optimization_df(inp), SCORE_BELOW)
+    return T.low_efficiency_routes(inp.filtered, SCORE_BELOW, default_selection=True)
 
 
 _FLEET = """
@@ -475,3 +474,136 @@ SELECT * FROM ev ORDER BY ev_km DESC NULLS LAST, route_no LIMIT 3"""), doubles=[
 def q_top3_ev_routes(inp):
     """Three routes with the most EV km."""
     return T.top_ev_routes(inp.filtered, 3)
+
+
+# ------------------------------------------------------------------ data quality
+@query("ticket_scan_quality", with_tickets("""
+, torn AS (SELECT *, trip_no % 211 = 0 AS torn, trip_no % 53 = 0 AS bad_count, trip_no % 61 = 0 AS bad_amount,
+                  route_id % 17 = 0 AS no_km FROM tickets)
+SELECT count(*) AS rows, CAST(count(*) FILTER (WHERE torn) AS BIGINT) AS torn_lines,
+       count(*) FILTER (WHERE NOT torn AND bad_count) AS bad_px_count,
+       count(*) FILTER (WHERE NOT torn AND bad_amount) AS bad_px_total_amount,
+       CAST(0 AS BIGINT) AS bad_travelled_KM,
+       count(*) FILTER (WHERE torn OR bad_count OR bad_amount) AS malformed_rows,
+       count(*) FILTER (WHERE torn OR bad_count OR bad_amount) AS rescued_rows,
+       CAST(sum(CASE WHEN NOT torn AND NOT bad_count THEN px_count END) AS BIGINT) AS total_passengers,
+       sum(CASE WHEN NOT torn AND NOT bad_amount THEN px_total_amount END) AS total_revenue,
+       sum(CASE WHEN NOT torn AND NOT no_km THEN travelled_KM END) AS total_distance
+FROM torn"""), doubles=["total_revenue", "total_distance"])
+def q_ticket_scan_quality(inp):
+    """Ticket lines with text among the numbers, empty fields and lines cut
+    off after three fields, scanned once: what is malformed is counted by the scan
+    that writes the typed table, and kept as text beside it."""
+    t = inp.tickets
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in t.columns]
+    at = {c: i for i, c in enumerate(t.columns)}
+    fields[at["px_count"]] = F.when(F.col("trip_no") % 53 == 0, F.lit("n/a")).otherwise(fields[at["px_count"]])
+    fields[at["px_total_amount"]] = F.when(F.col("trip_no") % 61 == 0, F.lit("12.5x")).otherwise(fields[at["px_total_amount"]])
+    fields[at["travelled_KM"]] = F.when(F.col("route_id") % 17 == 0, F.lit("")).otherwise(fields[at["travelled_KM"]])
+    whole, cut = F.concat_ws(",", *fields), F.concat_ws(",", *fields[:3])
+    path = new_path(inp.spark, "ticket_lines")
+    t.select(F.when(F.col("trip_no") % 211 == 0, cut).otherwise(whole).alias("value")).write.text(path)
+    seen = Observation("tickets")
+    typed = keep_table(read_tickets(inp.spark, path, header=False, counts=seen, rescued="rescued"), "typed_tickets")
+    found = seen.get
+    totals = typed.agg(F.count("rescued").alias("rescued_rows"), F.sum("px_count").alias("total_passengers"),
+                       F.sum("px_total_amount").alias("total_revenue"), F.sum("travelled_KM").alias("total_distance"))
+    names = ["rows", "torn_lines", "bad_px_count", "bad_px_total_amount", "bad_travelled_KM", "malformed_rows"]
+    return totals.select(*[F.lit(found[n]).cast("long").alias(n) for n in names], "*")
+
+
+# ------------------------------------------------------------------ prepared tables
+@query("override_distance_bucketed", with_tickets(
+    "SELECT trip_no, route_no, schedule_no, raw_km, travelled_KM FROM enriched"),
+    doubles=["raw_km", "travelled_KM"])
+def q_override_distance_bucketed(inp):
+    """D3/J2 over tables bucketed on (schedule, route): tickets and route
+    distances prepared once, joined without an exchange."""
+    keys = ["schedule_no", "route_id"]
+    t = inp.tickets.select("trip_no", "route_no", *keys, "travelled_KM", F.col("travelled_KM").alias("raw_km"))
+    facts = save_bucketed(t, "tickets", keys, 8)
+    dim = save_bucketed(dedupe_last(inp.form_four, keys, ["kms"]), "form_four", keys, 8)
+    return enrich.override_distance(facts, dim).select("trip_no", "route_no", "schedule_no", "raw_km", "travelled_KM")
+
+
+def ticket_rollup(inp):
+    """The enriched tickets as a rollup on the shared folder, loaded in two
+    batches (up to 1997, and the later ones appended)."""
+    store = rollup.RollupStore(inp.spark, new_path(inp.spark, "ticket_rollup"))
+    early = F.coalesce(F.col("ticket_datetime") < F.lit("1998-01-01").cast("timestamp_ntz"), F.lit(True))
+    store.append(rollup.rollup_tickets(inp.enriched.where(early)), "to-1997")
+    store.append(rollup.rollup_tickets(inp.enriched.where(~early)), "from-1998")
+    return store.read()
+
+
+@query("rollup_kpi_summary", with_tickets("""
+SELECT CAST(coalesce(sum(px_count), 0) AS BIGINT) AS total_passengers,
+       coalesce(sum(px_total_amount), 0) AS total_revenue,
+       coalesce(sum(travelled_KM), 0) AS total_distance, avg(revenue_per_km) AS avg_epkm
+FROM filtered"""), doubles=["total_revenue", "total_distance", "avg_epkm"])
+def q_rollup_kpi_summary(inp):
+    """The summary KPIs under the default range, from the rollup."""
+    return rollup.kpi_summary(rollup.in_range(ticket_rollup(inp)))
+
+
+@query("rollup_filtered_kpis", with_tickets("""
+SELECT CAST(coalesce(sum(px_count), 0) AS BIGINT) AS total_passengers,
+       coalesce(sum(px_total_amount), 0) AS total_revenue,
+       coalesce(sum(travelled_KM), 0) AS total_distance, avg(revenue_per_km) AS avg_epkm
+FROM enriched
+WHERE ticket_datetime BETWEEN TIMESTAMP '1995-06-01 00:00:00' AND TIMESTAMP '1999-06-30 00:00:00'
+  AND service_type IN ('ASIA', 'EUROPE')"""), doubles=["total_revenue", "total_distance", "avg_epkm"])
+def q_rollup_filtered_kpis(inp):
+    """The same under a date range and a service list."""
+    r = rollup.in_range(ticket_rollup(inp), "1995-06-01", "1999-06-30")
+    return rollup.kpi_summary(r.where(F.col("service_type").isin("ASIA", "EUROPE")))
+
+
+@query("rollup_routes", with_tickets(_ROUTE_PX + """
+SELECT route_no, passengers FROM rp ORDER BY passengers DESC NULLS LAST, route_no LIMIT 5"""))
+def q_rollup_routes(inp):
+    """Five routes with the most passengers, from the rollup."""
+    return rollup.route_passengers(rollup.in_range(ticket_rollup(inp)), 5)
+
+
+@query("rollup_daily_revenue", with_tickets(_DAILY + "\nSELECT day, revenue FROM daily"), doubles=["revenue"])
+def q_rollup_daily_revenue(inp):
+    """Revenue per calendar day, from the rollup."""
+    return rollup.daily_revenue(rollup.in_range(ticket_rollup(inp)))
+
+
+@query("rollup_peak_days", with_tickets(_DAILY + """
+SELECT day, revenue FROM daily ORDER BY revenue DESC NULLS LAST, day LIMIT 3"""), doubles=["revenue"])
+def q_rollup_peak_days(inp):
+    """Three highest-revenue days, from the rollup."""
+    return rollup.peak_days(rollup.in_range(ticket_rollup(inp)))
+
+
+@query("rollup_monthly_distance", with_tickets(_FLEET + """
+SELECT CAST(date_trunc('month', ticket_datetime) AS DATE) AS month_start, coalesce(sum(travelled_KM), 0) AS distance
+FROM fleet WHERE ticket_datetime IS NOT NULL GROUP BY 1"""), doubles=["distance"])
+def q_rollup_monthly_distance(inp):
+    """Km per calendar month, from the rollup."""
+    return rollup.monthly_distance(ticket_rollup(inp))
+
+
+@query("rollup_sustainability", with_tickets("""
+, k AS (
+  SELECT coalesce(sum(CASE WHEN service_type = 'EV INTERSTATE' THEN travelled_KM END), 0) AS ev_km,
+         coalesce(sum(CASE WHEN service_type = 'MANUAL LOCAL INTERSTATE' THEN travelled_KM END), 0) AS diesel_km,
+         coalesce(sum(travelled_KM), 0) AS all_km
+  FROM filtered)
+SELECT ev_km, diesel_km, all_km, diesel_km * 0.3 AS co2_emitted, all_km * 0.3 - diesel_km * 0.3 AS co2_saved FROM k"""),
+    doubles=["ev_km", "diesel_km", "all_km", "co2_emitted", "co2_saved"])
+def q_rollup_sustainability(inp):
+    """EV, diesel and all km with CO2, from the rollup."""
+    return rollup.sustainability(rollup.in_range(ticket_rollup(inp)))
+
+
+@query("rollup_top_ev_routes", with_tickets("""
+, ev AS (SELECT route_no, coalesce(sum(travelled_KM), 0) AS ev_km FROM filtered
+         WHERE service_type = 'EV INTERSTATE' AND route_no IS NOT NULL GROUP BY route_no)
+SELECT * FROM ev ORDER BY ev_km DESC NULLS LAST, route_no LIMIT 3"""), doubles=["ev_km"])
+def q_rollup_top_ev_routes(inp):
+    """Three routes with the most EV km, from the rollup."""
+    return rollup.top_ev_routes(rollup.in_range(ticket_rollup(inp)))

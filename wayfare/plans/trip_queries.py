@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import iso_week, month_number_of_name
-from ..operators import clean, domains, filters, stats
+from ..operators import clean, domains, filters, moments, rollup, stats
 from ..operators import trips as TR
+from ..scratch import keep_table, new_path
 from ..session import scratch_path
 from ..sources import export_csv, read_trips
 from .catalog import query
@@ -720,3 +722,179 @@ FROM trips_ext WHERE service_type IS NOT NULL GROUP BY 1"""),
 def q_service_epkm_distribution(inp):
     """Five-number summary and count of EPKM per service."""
     return stats.service_epkm_distribution(inp.trips_extended)
+
+
+# ------------------------------------------------------------------ data quality
+@query("trip_clean_quality", with_trips("""
+SELECT count(*) AS rows, count(*) FILTER (WHERE running_date IS NOT NULL AND rd IS NULL) AS bad_running_date,
+       count(*) FILTER (WHERE trip_number IS NOT NULL AND TRY_CAST(trip_number AS DOUBLE) IS NULL) AS bad_trip_number,
+       count(*) FILTER (WHERE running_time IS NOT NULL AND TRY_CAST(running_time AS DOUBLE) IS NULL) AS bad_running_time,
+       CAST(0 AS BIGINT) AS bad_total_amount,
+       count(*) FILTER (WHERE rd IS NULL OR total_amount IS NULL OR travel_distance IS NULL) AS dropped_rows,
+       (SELECT count(*) FROM trips_ext) AS kept_rows, (SELECT sum(total_amount) FROM trips_ext) AS total_revenue
+FROM (SELECT t.*, TRY_CAST(t.running_date AS TIMESTAMP) AS rd FROM trips t)"""), doubles=["total_revenue"])
+def q_trip_clean_quality(inp):
+    """What the drill-down cleaning coerces to NULL and drops, counted by
+    the pass that writes the cleaned table."""
+    seen = Observation("trips")
+    kept = keep_table(clean.clean_trips_extended(inp.trips, counts=seen), "trips_cleaned")
+    found = seen.get
+    names = ["rows", "bad_running_date", "bad_trip_number", "bad_running_time", "bad_total_amount", "dropped_rows"]
+    totals = kept.agg(F.count(F.lit(1)).alias("kept_rows"), F.sum("total_amount").alias("total_revenue"))
+    return totals.select(*[F.lit(found[n]).cast("long").alias(n) for n in names], "*")
+
+
+# ------------------------------------------------------------------ one-pass pages
+@query("page_domains", with_trips("""
+, g AS (SELECT 'month' AS domain, month AS value, running_date, trip_number FROM trips_ext
+        UNION ALL SELECT 'day_of_week', day_of_week, running_date, trip_number FROM trips_ext
+        UNION ALL SELECT 'service_type', service_type, running_date, trip_number FROM trips_ext
+        UNION ALL SELECT 'route_no', route_no, running_date, trip_number FROM trips_ext
+        UNION ALL SELECT 'iso_week', CAST(weekofyear(running_date) AS VARCHAR), running_date, trip_number FROM trips_ext
+        UNION ALL SELECT NULL, NULL, running_date, trip_number FROM trips_ext)
+SELECT domain, value, count(*) AS rows, CAST(min(running_date) AS DATE) AS first_date,
+       CAST(max(running_date) AS DATE) AS last_date, CAST(max(trip_number) AS DOUBLE) AS max_number
+FROM g GROUP BY 1, 2"""), doubles=["max_number"])
+def q_page_domains(inp):
+    """Every selection list of the drill-down page and its bounds in one
+    fact read."""
+    d = inp.trips_extended.withColumn("iso_week", iso_week(F.col("running_date")))
+    return domains.page_domains(d, ["month", "day_of_week", "service_type", "route_no", "iso_week"], "running_date", "trip_number")
+
+
+@query("dow_service_map", with_trips("""
+, g AS (SELECT day_of_week, service_type, avg(CAST(total_count AS DOUBLE)) AS m
+        FROM trips_ext WHERE day_of_week IS NOT NULL AND service_type IS NOT NULL GROUP BY 1, 2)
+SELECT day_of_week, string_agg(service_type, ',' ORDER BY service_type) AS services,
+       max(CASE WHEN service_type = 'ASIA' THEN m END) AS ASIA, max(CASE WHEN service_type = 'EUROPE' THEN m END) AS EUROPE
+FROM g GROUP BY 1"""), doubles=["ASIA", "EUROPE"])
+def q_dow_service_map(inp):
+    """A31 as a map from service to mean passengers by weekday, of which two
+    entries are shown as columns."""
+    m = TR.dow_service_map(inp.trips_extended)
+    keys = m.withColumn("services", F.array_join(F.array_sort(F.map_keys("avg_passengers")), ","))
+    return TR.widen(keys, ["ASIA", "EUROPE"])
+
+
+_MOMENTS = """
+, v AS (SELECT service_type, CAST(total_count AS DOUBLE) AS x, total_amount AS y, Epkm AS e FROM trips_ext)
+SELECT {key} count(*) AS n, corr(x, y) AS correlation, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
+       regr_r2(y, x) AS r2, avg(e) AS mean_epkm, stddev_samp(e) AS sd_epkm
+FROM v {group}"""
+_MOMENT_DOUBLES = ["correlation", "slope", "intercept", "r2", "mean_epkm", "sd_epkm"]
+
+
+@query("service_moments", with_trips(_MOMENTS.format(key="service_type,", group="GROUP BY 1")), doubles=_MOMENT_DOUBLES)
+def q_service_moments(inp):
+    """Correlation, line and EPKM spread of every service, from one
+    row of co-moments each."""
+    return moments.statistics(moments.service_moments(inp.trips_extended))
+
+
+@query("overall_moments", with_trips(_MOMENTS.format(key="", group="")), doubles=_MOMENT_DOUBLES)
+def q_overall_moments(inp):
+    """The same over all trips, from the services' rows merged."""
+    return moments.statistics(moments.merge_moments(moments.service_moments(inp.trips_extended)))
+
+
+# ------------------------------------------------------------------ rollup
+def trip_rollup(inp):
+    """The cleaned trips as a rollup on the shared folder, loaded in two
+    batches (up to 1997, and the later ones appended)."""
+    store = rollup.RollupStore(inp.spark, new_path(inp.spark, "trip_rollup"))
+    early = F.col("running_date") < F.lit("1998-01-01").cast("timestamp_ntz")
+    store.append(rollup.rollup_trips(inp.trips_extended.where(early)), "to-1997")
+    store.append(rollup.rollup_trips(inp.trips_extended.where(~early)), "from-1998")
+    return store.read()
+
+
+@query("rollup_trip_kpis", with_trips("""
+SELECT count(*) AS total_trips, CAST(coalesce(sum(total_count), 0) AS BIGINT) AS total_passengers,
+       coalesce(sum(total_amount), 0) AS total_revenue, coalesce(sum(travel_distance), 0) AS total_distance,
+       coalesce(avg(running_time), 0) AS avg_running_time, coalesce(avg(Epkm), 0) AS avg_epkm
+FROM trips_ext WHERE month IN ('March') AND weekofyear(running_date) IN (10, 11)
+  AND service_type IN ('ASIA', 'EUROPE', 'AFRICA')"""),
+    doubles=["total_revenue", "total_distance", "avg_running_time", "avg_epkm"])
+def q_rollup_trip_kpis(inp):
+    """The drill-down KPIs of two ISO weeks of March and three
+    services, from the rollup: the filters apply to it as to the trips."""
+    spec = filters.CalendarFilter(months=["March"], weeks=[10, 11], services=["ASIA", "EUROPE", "AFRICA"])
+    return rollup.kpi_trips(spec.apply(trip_rollup(inp)))
+
+
+@query("rollup_monthly_revenue", with_trips("""
+, agg AS (SELECT month, sum(total_amount) AS total_amount, CAST(sum(total_count) AS BIGINT) AS total_count
+          FROM trips_ext WHERE month IN ('March', 'May') GROUP BY month),
+months AS (SELECT DISTINCT CAST(month(running_date) AS BIGINT) AS month_no, strftime(running_date, '%B') AS month
+           FROM trips_ext)
+SELECT m.month_no, m.month, a.total_amount, a.total_count FROM months m LEFT JOIN agg a USING (month)"""),
+    doubles=["total_amount"])
+def q_rollup_monthly_revenue(inp):
+    """Revenue and passengers by month name under a selection, from the rollup."""
+    r = trip_rollup(inp)
+    return rollup.monthly_revenue(filters.CalendarFilter(months=["March", "May"]).apply(r), months_from=r)
+
+
+@query("rollup_daily_revenue_in_month", with_trips("""
+SELECT CAST(running_date AS DATE) AS running_date, coalesce(sum(total_amount), 0) AS total_amount
+FROM trips_ext WHERE month = 'March' GROUP BY 1"""), doubles=["total_amount"])
+def q_rollup_daily_revenue_in_month(inp):
+    """Revenue per date in March, from the rollup."""
+    return rollup.daily_revenue_in_month(trip_rollup(inp), "March")
+
+
+@query("rollup_dow_pattern", with_trips(f"""
+, {_DAYS},
+agg AS (SELECT day_of_week, avg(total_amount) AS avg_revenue, avg(CAST(total_count AS DOUBLE)) AS avg_passengers
+        FROM trips_ext GROUP BY 1)
+SELECT d.day_of_week, CAST(d.day_no AS BIGINT) AS day_no, coalesce(a.avg_revenue, 0) AS avg_revenue,
+       coalesce(a.avg_passengers, 0) AS avg_passengers
+FROM days d LEFT JOIN agg a USING (day_of_week)"""), doubles=["avg_revenue", "avg_passengers"])
+def q_rollup_dow_pattern(inp):
+    """Means by weekday, from the rollup."""
+    return rollup.dow_pattern(trip_rollup(inp))
+
+
+@query("rollup_schedule_stats", with_trips(_SCHED + "\nSELECT * FROM ss"),
+       doubles=["avg_epkm", "total_revenue", "total_distance"])
+def q_rollup_schedule_stats(inp):
+    """Schedule means and totals, from the rollup."""
+    return rollup.schedule_stats(trip_rollup(inp), MIN_TRIPS)
+
+
+@query("rollup_top10_routes", with_trips(f"""
+SELECT route_no, CAST(coalesce(sum(total_count), 0) AS BIGINT) AS total_count FROM trips_ext
+WHERE route_no IS NOT NULL GROUP BY 1 ORDER BY total_count DESC NULLS LAST, route_no LIMIT {TOP_N}"""))
+def q_rollup_top10_routes(inp):
+    """Ten routes with the most passengers, from the rollup."""
+    return rollup.trip_routes_by_passengers(trip_rollup(inp), TOP_N)
+
+
+@query("rollup_monthly_passengers", with_trips("""
+, per AS (SELECT last_day(CAST(running_date AS DATE)) AS month_end, sum(total_count) AS s,
+                 avg(total_count) AS m FROM trips_ext GROUP BY 1),
+sp AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(month_end)),
+                                                  date_trunc('month', max(month_end)), INTERVAL 1 MONTH)) AS DATE)) AS month_end
+       FROM per)
+SELECT sp.month_end, CAST(coalesce(per.s, 0) AS BIGINT) AS total_passengers, per.m AS avg_per_trip
+FROM sp LEFT JOIN per USING (month_end)"""), doubles=["avg_per_trip"])
+def q_rollup_monthly_passengers(inp):
+    """Passengers per month end, from the rollup."""
+    return rollup.monthly_passengers(trip_rollup(inp))
+
+
+@query("rollup_epkm_trend_daily", _trend_sql(
+    "CAST(running_date AS DATE)", "1 DAY",
+    "CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 DAY)) AS DATE)"),
+    doubles=["avg_epkm", "system_avg_epkm"])
+def q_rollup_epkm_trend_daily(inp):
+    """Mean EPKM per day, from the rollup."""
+    return rollup.epkm_trend(trip_rollup(inp), "D")
+
+
+@query("rollup_daily_passengers", with_trips("""
+SELECT CAST(running_date AS DATE) AS running_date, CAST(sum(total_count) AS BIGINT) AS total_count
+FROM trips_ext GROUP BY 1"""))
+def q_rollup_daily_passengers(inp):
+    """Passengers per date, from the rollup."""
+    return rollup.daily_totals(trip_rollup(inp), "total_count")
