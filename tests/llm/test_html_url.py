@@ -25,6 +25,25 @@ def test_page_parser():
     assert H.Page('<p class="' * 2000 + "x").text() is not None
 
 
+def test_raw_elements_do_not_take_the_article():
+    assert H.Page("<article><p>one</p><svg/><p>two</p></article>").text() == "one\ntwo"
+    assert H.Page('<article><p>one</p><svg class="i" /><p>two</p></article>').text() == "one\ntwo"
+    assert H.Page("<article><p>one</p><svg><text>no</text></svg><p>two</p></article>").text() == "one\ntwo"
+    assert H.Page("<article><p>one</p><noscript><p>two</p></article>").text() == "one\ntwo"
+    assert H.Page("<article><p>one</p><iframe src='x'><p>two</p></article>").text() == "one\ntwo"
+    assert H.Page("<article><p>a <math><mi>x</mi>=1</math> b</p></article>").text() == "a x=1 b"
+    assert H.Page("<article><p>one</p><script>var a = 1;").text() == "one"
+
+
+def test_threshold_grows_with_the_pages(spark):
+    rows = [r for n in range(3, 12) for r in pages(f"h{n}.com", n)]
+    df = spark.createDataFrame([(u, h) for u, h in rows], "url string, html string")
+    got = {}
+    for r in H.extract_text(df, "url", "html").collect():
+        got.setdefault(r["url"].split("/")[2], []).append(r["text"].startswith("subscribe now"))
+    assert all(got["h3.com"]) and not any(x for n in range(4, 12) for x in got[f"h{n}.com"])
+
+
 def pages(host, n, extra=""):
     return [(f"http://{host}/p{i}", f"<html><body><div class='x'><p>subscribe now</p></div>"
              f"<div class='body'><p>unique story number {i} of {host}</p><p>and its end {i}</p></div>{extra}</body></html>")

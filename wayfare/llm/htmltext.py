@@ -12,8 +12,10 @@ that m pages have:
   alone has is worth 1;
 * both combined with weight ``PRESENTATION`` on the former.
 
-Branches that ``MIN_PAGES`` pages or more share and whose importance is below
-``LOW`` are removed from each page of the host; so are elements whose names
+Branches whose importance is below a threshold are removed from each page of the
+host.  The threshold grows with the pages that share the branch, from 0 for ``FEW_PAGES`` (which may be copies) to
+``LOW`` for ``MIN_PAGES`` and more, so that few pages need clearer evidence.  So are
+elements whose names
 say that they are no article text (fixed lists below).  Where a page has
 ``article`` or ``main`` elements, only their text counts.  If the tree would
 leave a page without text, the names alone decide for it.
@@ -42,12 +44,13 @@ from .store import written
 from .urlfilter import host_of
 
 PRESENTATION = 0.1
+FEW_PAGES = 3
 MIN_PAGES = 8
 LOW = 0.2
 
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math object noframes xmp".split())
+RAW = frozenset("script style title textarea noscript iframe template svg object noframes xmp".split())
 BLOCK = frozenset("""html body address article aside blockquote center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table
 tbody td tfoot th thead tr ul select option optgroup button label legend caption head""".split())
@@ -121,8 +124,11 @@ class Page:
                         flush()
                 continue
             if tag in RAW:
+                if tag == "svg" and m[3].rstrip().endswith("/"):
+                    continue
                 end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                # without an end tag a script or style takes the rest of the page, any other only its own tag
+                at = end.end() if end else n if tag in ("script", "style") else at
                 continue
             if tag in VOID:
                 if tag in ("br", "hr"):
@@ -223,7 +229,8 @@ def extract_text(df: DataFrame, url: str, html: str, text: str = "text", keep: l
     name = free_name(df, text)
     pages = df.select(F.struct(*[col(c) for c in kept]).alias("_row"), host_of(col(url)).alias("host"),
                       F.coalesce(col(html), F.lit("")).alias("html"))
-    low = (style_tree(pages).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
+    sure = F.least((F.col("pages") - FEW_PAGES) / (MIN_PAGES - FEW_PAGES), F.lit(1.0))
+    low = (style_tree(pages).where(F.col("importance") < LOW * sure)
            .groupBy("host").agg(F.collect_set("path").alias("low")))
     low = written(low, "low")
     size = F.octet_length("host") + F.octet_length(F.array_join("low", ",")) + 16
