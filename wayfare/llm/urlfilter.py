@@ -11,12 +11,18 @@ fitting rule decides.
 dates, with or without a file ending) become typed wildcards.  Of the others,
 level by level, a child of a node stays literal where it has ``MIN_LABELS``
 labels or at least ``LITERAL_SHARE`` of the node's urls, else it is ``*``; paths
-have any depth.  Sibling templates that
-differ in one literal are merged when both structure below and label rates are
-statistically alike (chi-square over the siblings with labels).  A branch's
-purity is its share of bad labels, smoothed towards its host's and that towards
-all hosts': a branch with ``MIN_LABELS`` labels or more whose purity reaches
-``PURITY`` is rejected.
+have any depth.  All nodes of the tree are judged, inner ones too.  A node's structure
+is the distribution of its urls over the segments below it.  Siblings with the
+same most frequent segment (the last one among equals) are a family.  Members, labelled
+or not, whose structure fits the family's (chi-square) and whose rate of bad labels
+does (those with ``MIN_LABELS`` labels) are merged into one branch, which has
+the labels of all of them.  A branch's purity is its share of bad labels,
+smoothed towards its parent's, and so on up to the host's and all hosts'; a
+node with less than ``MIN_LABELS`` labels of its own has at most its parent's, so what is
+not labelled goes only with siblings that agree as a whole.  A template is rejected if its purity
+reaches ``PURITY`` and it or a branch above it, below the host itself, has
+``MIN_LABELS`` labels or more.  Equal urls are judged alike, so ties need no
+order; an empty table gives an empty result.
 
 Everything is DataFrame operations on aggregates by (host, template); pages
 and nodes meet their tables in salted joins, so a hot host is not one task.  A
@@ -108,37 +114,64 @@ def templates(urls: DataFrame) -> DataFrame:
     return salted_join(typed, nodes, ["host", "_segs"], "path").drop("_segs")
 
 
-def branch_verdicts(counts: DataFrame) -> DataFrame:
-    """``counts`` (host, template, n, labelled, bad) -> (host, template, branch,
-    purity, rejected)."""
+def _steps(template):
+    """Nodes from the host's child to the template: (depth, parent, node, next),
+    next the segment below (``/``: none)."""
     parts = F.split(F.expr("substring(template, 2)"), "/")
-    slots = counts.withColumn("_parts", parts).select(
-        "*", F.explode(F.transform("_parts", lambda s, i: F.when(
-            ~s.rlike(r"^[<*]"), F.concat(F.lit("/"), F.array_join(
-                F.transform("_parts", lambda t, j: F.when(i == j, F.lit("{}")).otherwise(t)), "/"))))).alias("_masked"))
-    slots = slots.where(F.col("_masked").isNotNull())
-    rate = F.col("bad") / F.col("labelled")
-    alike = (slots.where(F.col("labelled") >= MIN_LABELS).groupBy("host", "_masked").agg(
-        F.count(F.lit(1)).alias("_k"), F.sum("labelled").alias("_nl"), F.sum("bad").alias("_nb"),
-        F.sum(F.col("labelled") * rate * rate).alias("_sq")))
-    p = F.col("_nb") / F.col("_nl")
-    var = p * (1 - p)
-    chi = F.when(var > 0, (F.col("_sq") - F.col("_nl") * p * p) / var).otherwise(0.0)
+    upto = lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(
+        k.alias("depth"), F.when(k > 1, upto(k - 1)).otherwise("").alias("parent"), upto(k).alias("node"),
+        F.coalesce(F.get(parts, k), F.lit("/")).alias("next")))
+
+
+def branches(counts: DataFrame) -> DataFrame:
+    """``counts`` (host, template, n, labelled, bad) -> (host, parent, node, merged,
+    own, labelled, bad): every node, with its own labels' number and its branch's."""
+    cells = (counts.select("*", F.explode(_steps(F.col("template"))).alias("s"))
+             .groupBy("host", "s.parent", "s.node", "s.next")
+             .agg(F.sum("n").alias("_o"), F.sum("labelled").alias("_l"), F.sum("bad").alias("_b")))
+    lead = cells.groupBy("host", "parent", "node").agg(F.max(F.struct("_o", "next"))["next"].alias("lead"))
+    cells = salted_join(cells, lead, ["host", "parent", "node"], "next")
+    pool = cells.groupBy("host", "parent", "lead", "next").agg(F.sum("_o").alias("_pool"))
+    family = cells.groupBy("host", "parent", "lead").agg(
+        F.sum("_o").alias("_all"), F.count_distinct("next").alias("_k"), F.sum("_l").alias("_fl"), F.sum("_b").alias("_fb"))
+    cells = salted_join(cells, pool, ["host", "parent", "lead", "next"], "node")
+    nodes = cells.groupBy("host", "parent", "lead", "node").agg(
+        F.sum(F.col("_o") * F.col("_o") / F.col("_pool")).alias("_sq"), F.sum("_o").alias("_n"),
+        F.sum("_l").alias("_l"), F.sum("_b").alias("_b"))
+    nodes = salted_join(nodes, family, ["host", "parent", "lead"], "node")
     free = F.col("_k") - 1
-    alike = alike.where((F.col("_k") > 1) & (chi <= free + Z * F.sqrt(2.0 * free)))
-    merged = (slots.where(F.col("labelled") >= MIN_LABELS).join(alike, ["host", "_masked"])
-              .groupBy("host", "template").agg(F.max(F.struct("_nl", "_masked", "_nb")).alias("_m"))
-              .select("host", "template", F.col("_m._masked").alias("branch"),
-                      F.col("_m._nl").alias("_nl"), F.col("_m._nb").alias("_nb")))
+    shape = F.col("_sq") * F.col("_all") / F.col("_n") - F.col("_n") <= free + Z * F.sqrt(2.0 * free) + 1e-6
+    p = F.try_divide("_fb", "_fl")
+    off = F.col("_l") * F.pow(F.try_divide("_b", "_l") - p, 2)
+    rate = (F.col("_l") < MIN_LABELS) | (off <= p * (1 - p) * (1 + Z * F.sqrt(F.lit(2.0))) + 1e-9)
+    nodes = written(nodes.select("host", "parent", "lead", "node", "_l", "_b", (shape & rate).alias("merged")), "nodes")
+    group = nodes.where("merged").groupBy("host", "parent", "lead").agg(F.sum("_l").alias("_gl"), F.sum("_b").alias("_gb"))
+    nodes = salted_join(nodes, group, ["host", "parent", "lead"], "node")
+    return nodes.select("host", "parent", "node", "merged", F.col("_l").alias("own"), F.when(F.col("merged"), F.col("_gl")).otherwise(F.col("_l")).alias("labelled"),
+                        F.when(F.col("merged"), F.col("_gb")).otherwise(F.col("_b")).alias("bad"))
+
+
+def branch_verdicts(counts: DataFrame) -> DataFrame:
+    """``counts`` (host, template, n, labelled, bad) -> (host, template, purity,
+    rejected)."""
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("_hl"), F.sum("bad").alias("_hb"))
     every = counts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2.0)).alias("_p"))
     prior = (F.col("_hb") + SMOOTHING * every.scalar()) / (F.col("_hl") + SMOOTHING)
-    out = counts.join(merged, ["host", "template"], "left").join(hosts, "host")
-    n, b = F.coalesce("_nl", "labelled"), F.coalesce("_nb", "bad")
-    purity = (b + SMOOTHING * prior) / (n + SMOOTHING)
-    return out.select("host", "template", F.coalesce("branch", "template").alias("branch"), n.alias("_n"),
-                      purity.alias("purity")).withColumn(
-        "rejected", (F.col("_n") >= MIN_LABELS) & (F.col("purity") >= PURITY)).drop("_n")
+    hosts = hosts.select("host", prior.alias("_prior"))
+    chain = counts.select("host", "template", F.explode(_steps(F.col("template"))).alias("s")).select(
+        "host", "template", "s.depth", "s.node")
+    nodes = branches(counts).select("host", "node", "own", "labelled", "bad")
+    chain = salted_join(chain, nodes, ["host", "node"], "template").groupBy("host", "template").agg(
+        F.array_sort(F.collect_list(F.struct("depth", "own", "labelled", "bad"))).alias("_chain"), F.max("labelled").alias("_most"))
+
+    def below(up, s):
+        smooth = (s["bad"] + SMOOTHING * up) / (s["labelled"] + SMOOTHING)
+        return F.when(s["own"] >= MIN_LABELS, smooth).otherwise(F.least(smooth, up))
+
+    out = salted_join(chain, hosts, ["host"], "template").withColumn("purity", F.aggregate("_chain", F.col("_prior"), below))
+    return out.select("host", "template", "purity",
+                      ((F.col("_most") >= MIN_LABELS) & (F.col("purity") >= PURITY)).alias("rejected"))
 
 
 def judge_urls(df: DataFrame, url: str, rules: list[tuple[str, str, str]], bad: str | None = None) -> DataFrame:
@@ -156,10 +189,10 @@ def judge_urls(df: DataFrame, url: str, rules: list[tuple[str, str, str]], bad:
     packed = packed.withColumn("rule", rule).withColumn("_said", said)
     label = F.col("_bad") if bad else F.col("_said") == "block"
     placed = templates(packed.withColumn("_label", label.cast("int")))
-    counts = placed.groupBy("host", "template").agg(
+    counts = written(placed.groupBy("host", "template").agg(
         F.count(F.lit(1)).alias("n"), F.count("_label").alias("labelled"),
-        F.coalesce(F.sum("_label"), F.lit(0)).alias("bad"))
-    verdicts = branch_verdicts(counts).select("host", "template", "purity", "rejected")
+        F.coalesce(F.sum("_label"), F.lit(0)).alias("bad")), "templates")
+    verdicts = branch_verdicts(counts)
     out = salted_join(placed, verdicts, ["host", "template"], "path")
     verdict = F.coalesce(F.col("_said"), F.when(F.col("rejected"), "block").otherwise("allow"))
     return out.select(*[F.col("_row").getField(c).alias(c) for c in own], F.col("host").alias(names["host"]),
