@@ -4,21 +4,31 @@
 non-overlapping matches of fixed patterns, kind by kind; matches that fail
 their check (parts over 255, number of digits, Luhn) are dropped.
 
-*Bootstrapping.*  The base spans are the seed entities.  The words before an
-entity are its lexical pattern; an identifier-like token (letters, digits,
-``_`` and ``-``, ``MIN_LENGTH`` characters or more with ``MIN_DIGITS`` digits)
-that no base span overlaps is an unseen instance of the pattern before it.  The
-graph of patterns and instances is scored iteratively: a pattern's confidence
-is the sum of its instances' scores over their number (one unknown instance is
-added, and patterns need ``MIN_SEEDS`` distinct seeds); an unseen instance's
-score is the noisy-or of its patterns' confidences, a seed's is 1.  After
-``ROUNDS`` rounds the occurrences of instances that score ``CONFIDENCE`` or
-more, in patterns that do, are added as spans of kind ``id``.
+*Bootstrapping.*  Seeds are the base spans and assigned secrets (a token of
+``SECRET_LENGTH`` characters or more, with letters and digits, in quotes after
+``=`` or ``:``).  An identifier-like token (letters, digits, ``_`` and ``-``,
+``MIN_LENGTH`` characters or more with ``MIN_DIGITS`` digits) that no base span
+overlaps is an instance.  An entity induces several lexical patterns: the word
+before it, the two words before, the word after and, for tokens, their shape
+(digits as 0, letters as a or A).  Words are lower case with digits as 0.
+
+The graph of patterns and values is scored to a fixed point.  A pattern's
+confidence is the score of the values in its occurrences, summed, over the number of
+all its occurrences in the corpus, entity or not (one more unknown is added); it
+is 0 until ``MIN_SEEDS`` distinct values of the pattern score ``CONFIDENCE``, so
+discovered values count as seeds from then on.  A seed's score is 1, another value's
+the noisy-or of its patterns' confidences from ``WEAK`` on.  Scores never fall;
+rounds end when none rises by ``STEP``.  Tokens whose value scores
+``CONFIDENCE`` are added as spans of kind ``id`` where one of the patterns there
+does as well.
 
 Only DataFrame functions are used.  Positions count code points, ends are
-exclusive.  A NULL text is empty; rows that share an id are separate rows.  A
-pattern that a third of all instances follow is aggregated before it is
-shuffled and joined as one small row.
+exclusive.  A NULL text is empty; rows that share an id, also a NULL one, are
+separate rows; equal scores need no order, because all that reach a threshold
+pass.  An empty table gives an empty result.  Texts have any length: only a
+match's own words travel on.  Only ``ident`` and ``text`` are read, so other
+columns' names do not matter.  A pattern that a third of all instances follow is
+aggregated before it is shuffled and joined as one small row.
 """
 
 from __future__ import annotations
@@ -27,14 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import lookup
 from .names import col
 from .store import written
 
-ROUNDS = 3
+STEP = 0.001
 MIN_SEEDS = 5
 MIN_LENGTH = 6
 MIN_DIGITS = 3
 CONFIDENCE = 0.7
+WEAK = 0.3
+SECRET_LENGTH = 20
+GRAM_BYTES = 16           # of a pattern in a broadcast
 
 # The fixed patterns.  Look-behinds and possessive quantifiers only keep the
 # search linear: a match cannot start inside a run that an earlier start would
@@ -68,16 +82,36 @@ def _valid(kind, value):
             .otherwise((F.length(value) >= MIN_LENGTH) & (n >= MIN_DIGITS)))
 
 
-def _context(before):
-    """The one or two words before a span (lower case, digits as 0), or NULL."""
-    tail = F.regexp_extract(F.substring(before, -80, 80), r"((?:[^\s]+\s+)?[^\s]+)\s*$", 1)
-    tail = F.regexp_replace(F.regexp_replace(F.lower(tail), r"\s+", " "), "[0-9]+", "0")
-    return F.when(F.length(tail) > 0, tail)
+def _plain(words):
+    """Words of a pattern: lower case, single blanks, digits as 0."""
+    return F.regexp_replace(F.regexp_replace(F.lower(words), r"\s+", " "), "[0-9]+", "0")
+
+
+def _before(piece):
+    """The one or two words that a piece ends with (empty: none)."""
+    return _plain(F.regexp_extract(F.substring(piece, -80, 80), r"((?:[^\s]+\s+)?[^\s]+)\s*$", 1))
+
+
+def _after(piece):
+    """The word that a piece begins with, after what is attached to the entity."""
+    return _plain(F.regexp_extract(F.substring(piece, 1, 80), r"^[^\s]*\s+([^\s]+)", 1))
+
+
+def _patterns(kind, before, after, value):
+    """Patterns of an entity: array of (p, gram), gram the words whose
+    occurrences count (NULL: shapes, which only tokens have)."""
+    last = F.substring_index(before, " ", -1)
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    one = lambda when, name, words, gram=True: F.when(when, F.struct(
+        F.xxhash64(F.lit(name), words).alias("p"), (F.xxhash64(words) if gram else F.lit(None).cast("long")).alias("gram")))
+    return F.array_compact(F.array(
+        one(F.length(last) > 0, "before", last), one(F.contains(before, F.lit(" ")), "two", before),
+        one(F.length(after) > 0, "after", after), one(kind == 4, "shape", shape, False)))
 
 
 def matches(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """One row per pattern match (rid, id, kind, start, end, context, value,
-    valid); a document without any has one row with kind NULL."""
+    """One row per pattern match (rid, id, kind, start, end, value, valid, seed,
+    patterns); a document without any has one row with kind NULL."""
     t = F.col("_t")
     docs = df.select(F.monotonically_increasing_id().alias("rid"), col(ident).alias("id"),
                      F.coalesce(col(text), F.lit("")).alias("_t"))
@@ -89,35 +123,54 @@ def matches(df: DataFrame, ident: str, text: str) -> DataFrame:
     lists = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), f.alias("values"),
                                         F.when(F.size(f) > 0, F.split(t, p, -1)).alias("pieces"))
                                for k, (f, p) in enumerate(zip(found, _PATTERNS))]), lambda s: F.size(s["values"]) > 0)
-    per = docs.select("rid", "id", F.explode_outer(lists).alias("s")).select(
-        "rid", "id", "s.kind", F.posexplode_outer(F.arrays_zip("s.values", "s.pieces")).alias("pos", "m"))
-    part = per.select("rid", "id", "kind", "pos", F.col("m.values").alias("value"),
-                      F.length("m.pieces").alias("gap"), _context(F.col("m.pieces")).alias("context"))
+    per = docs.select("rid", "id", F.explode_outer(lists).alias("s"))
+    per = per.select("rid", "id", "s.kind", F.col("s.values").alias("value"), F.transform("s.pieces", F.length).alias("gap"),
+                     F.transform("s.pieces", _before).alias("before"),
+                     F.transform("s.pieces", lambda x: x.rlike(r"""[=:]\s*["']$""")).alias("assigned"),
+                     F.transform(F.slice("s.pieces", 2, F.greatest(F.size("s.pieces") - 1, F.lit(0))), _after).alias("after"))
+    part = per.select("rid", "id", "kind", F.posexplode_outer(
+        F.arrays_zip("value", "gap", "before", "assigned", "after")).alias("pos", "m")).select("rid", "id", "kind", "pos", "m.*")
     part = part.where(F.col("pos").isNull() | F.col("value").isNotNull() | F.col("gap").isNotNull())
     upto = Window.partitionBy("rid", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.coalesce(F.length("value"), F.lit(0))).over(upto)
     placed = part.withColumn("end", end).where(F.col("kind").isNull() | F.col("value").isNotNull())
-    return placed.select("rid", "id", "kind", (F.col("end") - F.length("value")).alias("start"), "end",
-                         "context", "value", _valid(F.col("kind"), F.col("value")).alias("valid"))
-
-
-def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(context, confidence) and (value, score) of a graph of distinct
-    (context, value, seed) edges."""
-    support = edges.groupBy("context").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.count(F.lit(1)).alias("n"))
-    # only patterns with enough seeds can become confident
-    live = support.where(F.col("seeds") >= MIN_SEEDS)
-    unseen = written(edges.where(~F.col("seed")).select("context", "value").join(live.select("context"), "context"), "graph")
-    live = written(live, "patterns")
-    score = unseen.select("value").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(rounds):
-        mass = unseen.join(score, "value").groupBy("context").agg(F.sum("score").alias("mass"))
-        conf = live.join(mass, "context", "left").select(
-            "context", ((F.col("seeds") + F.coalesce("mass", F.lit(0.0))) / (F.col("n") + 1)).alias("confidence"))
-        score = unseen.join(conf, "context").groupBy("value").agg(
-            (1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
-        score = written(score, "scores")
-    return conf, score
+    secret = (F.col("assigned") & (F.length("value") >= SECRET_LENGTH) & F.col("value").rlike("[A-Za-z]"))
+    return placed.select("rid", "id", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value",
+                         _valid(F.col("kind"), F.col("value")).alias("valid"), ((F.col("kind") < 4) | secret).alias("seed"),
+                         _patterns(F.col("kind"), F.col("before"), F.col("after"), F.col("value")).alias("patterns"))
+
+
+def occurrences(df: DataFrame, text: str, grams: DataFrame) -> DataFrame:
+    """(gram, occ): how often the words of ``grams`` occur in all texts."""
+    words = F.split(_plain(F.coalesce(col(text), F.lit(""))), " ")
+    words = df.select(words.alias("w")).select(F.explode(F.concat(
+        F.transform("w", lambda x: F.xxhash64(x)),
+        F.zip_with("w", F.slice("w", 2, F.size("w")), lambda x, y: F.when(y.isNotNull(), F.xxhash64(F.concat_ws(" ", x, y)))))
+    ).alias("gram"))
+    wanted = written(grams.select("gram", F.lit(True).alias("_wanted")), "grams")
+    met = lookup(words.where(F.col("gram").isNotNull()), wanted, ["gram"], F.monotonically_increasing_id(), F.lit(GRAM_BYTES))
+    return met.where("_wanted").groupBy("gram").agg(F.count(F.lit(1)).alias("occ"))
+
+
+def score_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(p, confidence) and (value, score) at the fixed point of a graph of
+    distinct (p, value, w, seed, n) edges; w counts the edge's occurrences, n
+    all occurrences of the pattern."""
+    score = written(edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score")), "scores")
+    while True:
+        conf = edges.join(score, "value").groupBy("p").agg(
+            F.sum(F.col("w") * F.col("score")).alias("mass"), F.max("n").alias("n"),
+            F.count(F.when(F.col("score") >= CONFIDENCE, 1)).alias("known"))
+        conf = written(conf.where(F.col("known") >= MIN_SEEDS).select(
+            "p", (F.col("mass") / (F.col("n") + 1)).alias("confidence")), "patterns")
+        told = edges.where(~F.col("seed")).join(conf.where(F.col("confidence") >= WEAK), "p").groupBy("value").agg(
+            (1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("told"))
+        new = written(score.join(told, "value", "left").select(
+            "value", F.greatest("score", F.coalesce("told", F.lit(0.0))).alias("score"), F.col("score").alias("old")), "scores")
+        rise = new.agg(F.max(F.col("score") - F.col("old"))).first()[0] or 0.0
+        score = new.drop("old")
+        if rise < STEP:
+            return conf, score
 
 
 def find_pii(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -132,13 +185,23 @@ def find_pii(df: DataFrame, ident: str, text: str) -> DataFrame:
     after = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     usable = written(valid.withColumn("_free", free).where(base | F.col("_free")).drop("_free", "valid"), "spans")
-    edges = (usable.where(F.col("context").isNotNull())
-             .groupBy("context", F.xxhash64("value").alias("value")).agg(F.max(base).alias("seed")))
-    conf, score = score_graph(edges)
-    sure = conf.where(F.col("confidence") >= CONFIDENCE).select("context")
+    value = F.xxhash64("value").alias("value")
+    pairs = (usable.select(value, "seed", F.explode("patterns").alias("m")).groupBy("m.p", "m.gram", "value")
+             .agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("w")))
+    # a value that was a seed once is one everywhere
+    seeds = usable.where("seed").select(value).distinct().withColumn("_is", F.lit(True))
+    pairs = written(pairs.join(seeds, "value", "left").withColumn("seed", F.coalesce("_is", F.lit(False))).drop("_is"), "edges")
+    # only patterns with enough values can become confident
+    live = written(pairs.groupBy("p", "gram").agg(F.count(F.lit(1)).alias("values"), F.sum("w").alias("all"))
+                   .where(F.col("values") >= MIN_SEEDS), "live")
+    counted = live.join(occurrences(df, text, live.select("gram").where(F.col("gram").isNotNull()).distinct()), "gram", "left")
+    counted = counted.select("p", F.greatest("all", F.coalesce("occ", F.lit(0))).alias("n"))
+    conf, score = score_graph(written(pairs.drop("gram").join(counted, "p"), "graph"))
+    sure = conf.where(F.col("confidence") >= CONFIDENCE).select("p")
     named = score.where(F.col("score") >= CONFIDENCE).select("value")
-    seen = usable.select("rid", "id", "kind", "start", "end", "context", F.xxhash64("value").alias("value"))
-    new = seen.where(~base & F.col("context").isNotNull()).join(sure, "context", "left_semi").join(named, "value", "left_semi")
+    seen = usable.select("rid", "id", "kind", "start", "end", value, "patterns")
+    new = (seen.where(~base).join(named, "value", "left_semi").withColumn("p", F.explode("patterns.p"))
+           .join(sure, "p", "left_semi").dropDuplicates(["rid", "start", "end"]))
     cols = ("rid", "id", "kind", "start", "end")
     none = found.where(F.col("kind").isNull() | ~F.col("valid") | ~base).select(
         "rid", "id", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("start"),
