@@ -83,3 +83,47 @@ def test_registered_plans_read_the_facts_rarely(spark, name, reads):
     lines = _final(df._jdf.queryExecution().executedPlan().toString())
     assert sum("FileScan" in x and "[l_" in x for x in lines) == reads
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.fixture(scope="module")
+def fact_tables(spark, tmp_path_factory):
+    """2,000 lines, 500 orders, 4,000 customers, 40 suppliers; customers are too large to broadcast below."""
+    d = str(tmp_path_factory.mktemp("facts"))
+    made = {
+        "lineitem": "id % 500 AS l_orderkey, id % 90 AS l_partkey, id % 40 AS l_suppkey, cast(id % 7 AS int) AS l_linenumber, "
+                    "cast(id % 50 AS double) AS l_quantity, id * 1.5D AS l_extendedprice, (id % 11) / 100D AS l_discount, "
+                    "(id % 9) / 100D AS l_tax, if(id % 3 = 0, 'R', 'N') AS l_returnflag, 'O' AS l_linestatus, "
+                    "cast(timestamp_ntz'1997-12-01 10:00:00' + make_dt_interval(cast(id % 60 AS int)) AS timestamp_ntz) AS l_shipdate",
+        "orders": "id AS o_orderkey, id * 8 AS o_custkey, 'O' AS o_orderstatus, 1D AS o_totalprice, "
+                  "timestamp_ntz'1997-12-01 00:00:00' AS o_orderdate, 'x' AS o_orderpriority",
+        "customer": "id AS c_custkey, sha2(cast(id AS string), 512) AS c_name, cast(id % 25 AS int) AS c_nationkey, "
+                    "1D AS c_acctbal, 'm' AS c_mktsegment",
+        "supplier": "id AS s_suppkey, cast(id AS string) AS s_name, cast(id % 25 AS int) AS s_nationkey, 1D AS s_acctbal",
+        "nation": "cast(id AS int) AS n_nationkey, concat('N', id) AS n_name, cast(id % 5 AS int) AS n_regionkey",
+        "region": "cast(id AS int) AS r_regionkey, concat('R', id) AS r_name",
+    }
+    for name, rows in zip(made, (2000, 500, 4000, 40, 25, 5)):
+        spark.sql(f"SELECT {made[name]} FROM range({rows})").write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+@pytest.fixture()
+def small_broadcasts(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12000")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _exchanges(df):
+    return re.findall(r"Exchange hashpartitioning\((\w+?)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_facts_are_shuffled_on_the_order_only(spark, fact_tables, small_broadcasts):
+    from wayfare.sources import fixtures
+    tickets = fixtures.tickets(spark, fact_tables)
+    assert sorted(_exchanges(tickets)) == ["l_orderkey", "o_orderkey"]
+    assert tickets.count() == 2000
+    assert _exchanges(fixtures.trips(spark, fact_tables)) == []

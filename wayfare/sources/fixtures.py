@@ -9,7 +9,8 @@ library operators, which do not rely on how the rows were made.
 
 Scale notes: ``tickets`` needs lineitem joined to orders (a fact-to-fact
 equi-join on the order key, shuffled on both sides unless the tables are
-bucketed on it) and to customer; supplier / nation / region are joined as
+bucketed on it); customer is joined to orders first, so that lineitem is never
+shuffled on the customer; supplier / nation / region are joined one by one as
 dimensions that Catalyst broadcasts by their size.  ``trips`` only touches
 dimensions, so it is a map-only plan over lineitem.
 """
@@ -42,29 +43,38 @@ def _two(c) -> F.Column:
     return F.lpad(c.cast("string"), 2, "0")
 
 
+def _with_nation(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rows`` with their supplier's nation, one dimension at a time: each has a
+    known size, while the estimate of dimensions joined to each other first is their
+    product, and the facts would be shuffled on the supplier."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return (rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
+
+
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket-level fact rows (schema ``wayfare.schema.TICKETS``)."""
+    minute = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 1440
+    # shaped before the shuffle, so that it moves short values
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_shipdate")
+        "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", minute.alias("minute"),
+        (F.col("l_partkey") % 40).alias("schedule"), F.round(F.col("l_discount") * 1000).alias("km"),
+        F.to_date("l_shipdate").alias("day"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    supp_region = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    j = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-           .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-           .join(supp_region, F.col("l_suppkey") == F.col("s_suppkey")))
-    minute = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 1440
+    ordered = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    j = _with_nation(li.join(ordered, F.col("l_orderkey") == F.col("o_orderkey")), spark, sf_dir)
+    minute = F.col("minute")
     return j.select(
         F.col("c_nationkey").cast("int").alias("ticket_type_short_code"),
         F.col("n_regionkey").cast("int").alias("bus_service_id"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("ticket_date"),
+        F.date_format("day", "yyyy-MM-dd").alias("ticket_date"),
         F.concat_ws(":", _two(F.floor(minute / 60)), _two(minute % 60), F.lit("00")).alias("ticket_time"),
         F.col("l_extendedprice").alias("px_total_amount"),
         F.col("l_quantity").cast("bigint").alias("px_count"),
-        F.round(F.col("l_discount") * 1000).alias("travelled_KM"),
-        (F.col("l_partkey") % 40).cast("string").alias("schedule_no"),
+        F.col("km").alias("travelled_KM"),
+        F.col("schedule").cast("string").alias("schedule_no"),
         F.col("l_suppkey").alias("route_id"),
         F.col("l_suppkey").cast("string").alias("route_no"),
         F.col("l_orderkey").alias("trip_no"),
@@ -112,12 +122,8 @@ def _trip_rows(spark: SparkSession, sf_dir: str, bad_dates: bool) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_shipdate")
-    dims = (table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-            .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"),
-                  F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(table(spark, sf_dir, "region").select("r_regionkey", "r_name"),
-                  F.col("n_regionkey") == F.col("r_regionkey")))
-    j = li.join(dims, F.col("l_suppkey") == F.col("s_suppkey"))
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    j = _with_nation(li, spark, sf_dir).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     date_text = F.date_format("l_shipdate", "yyyy-MM-dd")
     if bad_dates:
         date_text = F.when(F.col("l_orderkey") % 97 == 0, F.lit("bad")).otherwise(date_text)
