@@ -127,3 +127,12 @@ def test_facts_are_shuffled_on_the_order_only(spark, fact_tables, small_broadcas
     assert sorted(_exchanges(tickets)) == ["l_orderkey", "o_orderkey"]
     assert tickets.count() == 2000
     assert _exchanges(fixtures.trips(spark, fact_tables)) == []
+
+
+def test_names_are_looked_up_after_the_distances(spark, fact_tables, small_broadcasts):
+    inp = Inputs(spark, fact_tables)
+    lines = inp.enriched._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffled = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning(schedule_no" in line]
+    facts = [x for x in shuffled if "px_count" in x]
+    assert len(facts) == 1 and not re.search(r"\b(ticket_type|service_type)#", facts[0])
+    assert inp.enriched.columns[-5:] == ["ticket_type", "service_type", "ticket_datetime", "revenue_per_km", "passengers_per_km"]

@@ -57,13 +57,16 @@ def prepare_dimensions(ticket_types: DataFrame, service_types: DataFrame,
 
 def enrich_tickets(tickets: DataFrame, ticket_types: DataFrame, service_types: DataFrame,
                    form_four: DataFrame) -> DataFrame:
-    """All ticket derivations in the dashboard's order.
+    """All ticket derivations.
 
     The ratios are computed *before* the distance override, so they use the
-    raw km while totals use the mapped km.
+    raw km while totals use the mapped km.  The names are looked up *after* it: the
+    route-distance table may be too large to broadcast, and the tickets are
+    then shuffled without the names.
     """
-    df = map_ticket_type(tickets, ticket_types)
+    df = add_ratios(parse_ticket_datetime(tickets))
+    df = override_distance(df, form_four)
+    df = map_ticket_type(df, ticket_types)
     df = map_service_type(df, service_types)
-    df = parse_ticket_datetime(df)
-    df = add_ratios(df)
-    return override_distance(df, form_four)
+    derived = ["ticket_type", "service_type", "ticket_datetime", "revenue_per_km", "passengers_per_km"]
+    return df.select(*[c for c in tickets.columns if c not in derived], *derived)
